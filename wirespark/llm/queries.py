@@ -7,6 +7,15 @@ import importlib
 #: query name -> (module, function); modules are imported when a query runs.
 QUERIES = {
     "op1_byte_bpe": ("wirespark.llm.bpe", "op1_byte_bpe"),
+    "op2_warc": ("wirespark.llm.warc", "op2_warc"),
+    "op3_exact_topk": ("wirespark.llm.topk", "op3_exact_topk"),
+    "op4_toxicity": ("wirespark.llm.toxicity", "op4_toxicity"),
+    "op5_language_id": ("wirespark.llm.language", "op5_language_id"),
+    "op6_quality_rules": ("wirespark.llm.quality", "op6_quality_rules"),
+    "op7_best_fit_packing": ("wirespark.llm.packing", "op7_best_fit_packing"),
+    "op8_lm_scoring": ("wirespark.llm.katz", "op8_lm_scoring"),
+    "op9_token_binary": ("wirespark.llm.huffman", "op9_token_binary"),
+    "op10_minhash_dedup": ("wirespark.llm.minhash", "op10_minhash_dedup"),
 }
 
 
