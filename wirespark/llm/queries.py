@@ -27,7 +27,24 @@ def queries() -> dict:
     return {name: _lazy(*where) for name, where in QUERIES.items()} | {"pipeline": _lazy("corpus_pipeline", "run")}
 
 
-ORACLE: dict[str, str] = {}
+#: Component-wise floors and products as integers; each query row against all others.
+ORACLE: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, b.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v AS b ON q.vec_id <> b.vec_id AND len(q.v) = len(b.v)
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
