@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from wirespark.llm.bpe import ByteBpe, Utf8Stream, decode_documents, encode_documents, load_ranks, op1_byte_bpe
+from wirespark.llm.bpe import BpeTransducer, ByteBpe, Utf8Stream, decode_documents, encode_documents, load_ranks, op1_byte_bpe
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -51,3 +51,17 @@ def test_query_and_round_trip(spark, tables):
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r[0], r[1] or "") for r in rows)
     tables.make("documents", [], "doc_id long, text string")
     assert op1_byte_bpe(spark, tables).count() == 0
+
+
+def test_stream_emits_after_bounded_lookahead_and_survives_small_memos():
+    ranks = load_ranks(PATH)
+    fst = BpeTransducer(ranks, most_states=50)
+    data = ("thndouha ünd thre" * 400).encode()
+    whole, got, held, most = BpeTransducer(ranks).encode(data), [], 0, 0
+    for part in fst.stream(data[i : i + 7] for i in range(0, len(data), 7)):
+        got += part
+        held = min(len(data), held + 7) - sum(fst.size[x] for x in part)
+        most = max(most, held)
+    assert got == whole == fst.encode(data)
+    assert most <= 4 * max(map(len, ranks))
+    assert b"".join(fst.token_bytes[x] for x in got) == data

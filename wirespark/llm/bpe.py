@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,12 +36,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class BpeTransducer:
-    """Lazily determinised transducer from bytes to token ids."""
+    """Lazily determinised transducer from bytes to token ids.
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+    A state is a set of configurations, the longest pending first; the last has nothing pending, and its token is the
+    one that ends at this byte. Emitting follows these ends back from the positions at which something can go on.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks, self.most_states = ranks, most_states
         self.token_bytes = {i: b for b, i in ranks.items()}
-        self.alive = {b[:k] for b in ranks for k in range(len(b))} - {b""}
+        self.size = {i: len(b) for b, i in ranks.items()}
+        self.alive = {b[:k] for b in ranks for k in range(1, len(b))}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self._reset()
@@ -48,17 +54,17 @@ class BpeTransducer:
     def _reset(self) -> None:
         self.states: dict[tuple, int] = {}
         self.configs: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
-        self.finals: list[tuple | None] = []
-        self.start = self._state((((-1,), b""),))
+        self.ends: list[int] = []
+        self.moves: dict[int, int] = {}
+        self._state(((-1, b""),))
 
     def _state(self, configs: tuple) -> int:
-        if configs not in self.states:
-            self.states[configs] = len(self.configs)
+        number = self.states.get(configs)
+        if number is None:
+            number = self.states[configs] = len(self.configs)
             self.configs.append(configs)
-            self.moves.append({})
-            self.finals.append(None)
-        return self.states[configs]
+            self.ends.append(configs[-1][0])
+        return number
 
     def merge(self, data: bytes, leave: int = 1) -> list[int]:
         """BPE by its definition, down to so many parts: for single tokens, to learn the merge that made them."""
@@ -98,47 +104,71 @@ class BpeTransducer:
             else:  # of equal ranks the left merge comes first, so a merge across comes before the right one at the same rank
                 until, right = right + 1, halves_right[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The state after byte, and the tokens that are certain by then."""
-        after, symbol, ended = [], bytes((byte,)), None
+    def _move(self, state: int, byte: int) -> int:
+        """The state after byte."""
+        after, symbol, ended = [], bytes((byte,)), -1
         alive, ranks, fits = self.alive, self.ranks, self.fits
-        for config in self.configs[state]:  # the longest pending first
-            chain, pending = config
+        for last, pending in self.configs[state]:
             grown = pending + symbol
-            if ended is None and (token := ranks.get(grown)) is not None:  # just one token can end here
-                pair = chain[-1], token
-                if (fit := fits.get(pair)) is None:
-                    fit = fits[pair] = self.may_follow(*pair)
+            if ended < 0 and (token := ranks.get(grown)) is not None:  # just one token can end here
+                if (fit := fits.get((last, token))) is None:
+                    fit = fits[last, token] = self.may_follow(last, token)
                 if fit:
-                    ended = (*chain, token), b""
+                    ended = token
             if grown in alive:
-                after.append((chain, grown))
-        after.append(ended)
-        common = after[0][0]
-        shared = len(common)
-        for chain, _ in after:
-            while chain[:shared] != common[:shared]:
-                shared -= 1
-        emitted = common[1:shared]
-        target = self._state(tuple([(chain[shared - 1 :], pending) for chain, pending in after]) if shared > 1 else tuple(after))
-        self.moves[state][byte] = target, emitted
-        return target, emitted
+                after.append((last, grown))
+        after.append((ended, b""))
+        target = self.moves[state << 8 | byte] = self._state(tuple(after))
+        return target
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to byte `at`, in order; ends has the token that ends at each byte."""
+        size, out = self.size, []
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
+        if len(data) > 4096:
+            return [x for part in self.stream(data[i : i + 4096] for i in range(0, len(data), 4096)) for x in part]
         if len(self.configs) > self.most_states:
             self._reset()
-        if len(self.fits) > 4 * self.most_states:
+        if len(self.fits) > 8 * self.most_states:
             self.fits.clear()
-        state, out, moves = self.start, [], self.moves
+        state, trail, moves = 0, [], self.moves
         for byte in data:
-            step = moves[state].get(byte) or self._move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        if self.finals[state] is None:
-            self.finals[state] = self.configs[state][-1][0][1:]
-        out += self.finals[state]
-        return out
+            found = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if found is None else found
+            trail.append(state)
+        at, ends, size, out = len(trail), self.ends, self.size, []
+        while at > 0:
+            token = ends[trail[at - 1]]
+            out.append(token)
+            at -= size[token]
+        return out[::-1]
+
+    def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
+        """Tokens as soon as no later byte can change them; the bytes held back are bounded by a few longest tokens."""
+        state, held = 0, []
+        for data in parts:
+            for byte in data:
+                found = self.moves.get(state << 8 | byte)
+                state = self._move(state, byte) if found is None else found
+                held.append(self.ends[state])
+            chains = [self._back(held, len(held) - len(pending)) for _, pending in self.configs[state]]
+            shared = min(map(len, chains))
+            while any(chain[:shared] != chains[0][:shared] for chain in chains):
+                shared -= 1
+            sure = chains[0][:shared]
+            del held[: sum(self.size[x] for x in sure)]
+            yield sure
+            if len(self.configs) > self.most_states:
+                here = self.configs[state]
+                self._reset()
+                state = self._state(here)
+        yield self._back(held, len(held))
 
 
 def _utf8_table() -> np.ndarray:
@@ -224,24 +254,26 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst = BpeTransducer(ranks)
         self.wide = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
+        self.packed = "H" if self.wide.itemsize == 2 else "I"
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self._encode_many)
+        self.chunks = ChunkEncoder(self._encode_many, most=600_000)
         self.decoder = TokenDecoder(self.fst.token_bytes)
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
 
     def _piece(self, piece: str) -> bytes:
         code = self.pieces.get(piece)
         if code is None:
-            code = np.array(self.fst.encode(piece.encode("utf-8", "surrogatepass")), self.wide).tobytes()
+            code = array(self.packed, self.fst.encode(piece.encode())).tobytes()
             if len(piece) <= 48:
-                if len(self.pieces) > 500_000:
+                if len(self.pieces) > 600_000:
                     self.pieces.clear()
                 self.pieces[piece] = code
         return code
 
     def _encode_many(self, chunks: list[str]) -> list[bytes]:
-        return [b"".join(map(self._piece, self.find(x))) for x in chunks]
+        piece = self._piece
+        return [piece(x) if x[1:].isalpha() and x[0] == " " else b"".join(map(piece, self.find(x))) for x in chunks]
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         for code in self.chunks.encode(texts):

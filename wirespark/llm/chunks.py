@@ -1,8 +1,8 @@
 """Encoding of whole texts by memoised chunks.
 
-A byte-level or word-level pre-tokenizer never lets a token cross the border before a single space that stands
-between two characters which are not white space. Texts are cut there, and each distinct chunk is encoded once per
-worker; the memo is bounded and emptied when full, so memory doesn't grow with the corpus.
+A byte-level or word-level pre-tokenizer never lets a token cross the border before a single white-space character that
+stands between two others which are not white space. Texts are cut there, and each distinct chunk is encoded once per
+worker; the memo is bounded, so memory doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -12,59 +12,67 @@ from collections.abc import Callable, Iterable, Iterator
 
 from wirespark.llm.common import slabs
 
-#: The same border where texts hold other white space: both neighbours are not white space by the widest definition.
+#: The border where texts hold other white space: both neighbours are not white space by the widest definition.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: Python takes these for white space, tokenizers don't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Longer chunks are encoded, but not kept.
 LONGEST_KEPT = 48
 
 
 class ChunkEncoder:
-    """encode_many(list of strings) -> list of bytes (packed ids). lead: what stands before a chunk that follows a space."""
+    """encode_many(chunks) -> list of bytes (packed ids).
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], lead: str = " ", most: int = 400_000):
-        self.encode_many, self.lead, self.most = encode_many, lead, most
+    spaced: a chunk that follows a space is given with it, one that follows a line feed with that; the first of a text
+    as it is. Otherwise white space doesn't matter, and chunks have none around them.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], spaced: bool = True, most: int = 400_000):
+        self.encode_many, self.spaced, self.most = encode_many, spaced, most
         self.seen = self.missed = 0
         self.memo: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {} if lead else self.memo
-
-    def _fill(self, memo: dict[str, bytes], lead: str, wanted: list[str]) -> dict[str, bytes]:
-        """The codes of wanted. Frequent chunks come early, so a full memo keeps what it has; it starts anew once it serves badly."""
-        wanted = list(dict.fromkeys(wanted))
-        fresh = dict(zip(wanted, self.encode_many([lead + x for x in wanted])))
-        if len(memo) + len(fresh) <= self.most:
-            memo.update((x, c) for x, c in fresh.items() if len(x) <= LONGEST_KEPT)
-        return fresh
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for group in slabs(texts):
             yield from self._slab(group)
 
+    def _cut(self, text: str) -> tuple[str, list[str], list[str]]:
+        """The first chunk, the others, and those of them that the memo doesn't have."""
+        memo = self.memo
+        if not self.spaced:
+            parts = text.split() if not SEPARATORS.search(text) else BORDER.split(text)
+            return "", parts, [x for x in parts if x not in memo]
+        first, *parts = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+        unknown = [x for x in parts if x not in memo]
+        plain = first == "" == text or first and not first[0].isspace() and not first[-1].isspace()
+        if not plain or not all(x and not x[-1].isspace() and (x[0] == "\n" and not x[1].isspace() or not x[0].isspace()) for x in unknown):
+            first, *parts = BORDER.split(text)
+            unknown = [x for x in parts if x not in memo]
+        return first, parts, unknown
+
     def _slab(self, texts: list[str]) -> list[bytes]:
-        memo, heads = self.memo, self.heads
+        memo = self.memo
         if self.missed * 3 > self.seen and self.seen > 200_000 and len(memo) * 10 > self.most * 9:
-            memo.clear()
-            heads.clear()
+            memo.clear()  # it serves badly: the texts have changed
         self.seen, self.missed = self.seen // 2, self.missed // 2
-        cut, new, new_heads = [], [], []
+        cut, new, heads = [], {}, {}
         for text in texts:
-            first, *parts = text.split(" ")
-            odd = first == "" or first[0].isspace() or first[-1].isspace()
-            unknown = [x for x in parts if x not in memo]
-            if odd or not all(x and not x[0].isspace() and not x[-1].isspace() for x in unknown):
-                first, *parts = BORDER.split(text)
-                unknown = [x for x in parts if x not in memo]
-            new += unknown
+            first, parts, unknown = self._cut(text)
+            new.update(dict.fromkeys(unknown))
+            heads[first] = None
             self.seen += len(parts)
             self.missed += len(unknown)
-            if first not in heads:
-                new_heads.append(first)
             cut.append((first, parts))
-        fresh, fresh_heads = self._fill(memo, self.lead, new), self._fill(heads, "", new_heads)
+        space = " " if self.spaced else ""
+        fresh = dict(zip(new, self.encode_many([x if x[:1] == "\n" else space + x for x in new])))
+        heads = dict(zip(heads, self.encode_many(list(heads))))
+        full = len(memo) + len(fresh) > self.most  # frequent chunks come early, so a full memo keeps what it has
+        if not full:
+            memo.update(fresh if max(map(len, fresh), default=0) <= LONGEST_KEPT else {x: c for x, c in fresh.items() if len(x) <= LONGEST_KEPT})
         out = []
         for first, parts in cut:
-            code = heads[first] if first in heads else fresh_heads[first]
             try:
-                out.append(code + b"".join(map(memo.__getitem__, parts)))
+                out.append(heads[first] + b"".join(map(memo.__getitem__, parts)))
             except KeyError:
-                out.append(code + b"".join([memo[x] if x in memo else fresh[x] for x in parts]))
+                out.append(heads[first] + b"".join([memo[x] if x in memo else fresh[x] for x in parts]))
         return out

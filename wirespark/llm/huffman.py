@@ -173,7 +173,7 @@ def encode_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """doc_id, ids (2 or 4 bytes each) with the end id, n."""
 
     def run(batches):
-        codec = tokens_of(path, " ")
+        codec = tokens_of(path, True)
         end = np.array([end_id], codec.wide).tobytes()
         for batch in batches:
             codes = [x.tobytes() + end for x in codec.encode(batch.column("text").to_pylist())]
@@ -246,7 +246,7 @@ def read_files(listed: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, path: str, folder: str, files: int) -> DataFrame:
     """Encode, count, write; gives the list of files (path, before: ids in all files before it), one row a file."""
     spark = docs.sparkSession
-    codec = tokens_of(path, " ")
+    codec = tokens_of(path, True)
     encoded = staged(encode_table(docs, path), "ids")
     lengths = code_lengths(global_counts(encoded, codec.wide, codec.size))
     written = staged(write_files(encoded, folder, codec.wide, lengths, files), "files")

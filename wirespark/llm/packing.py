@@ -12,7 +12,9 @@ ties go to the earlier piece; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,47 +22,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.chunks import ChunkEncoder
+from wirespark.llm.chunks import LONGEST_KEPT, ChunkEncoder
 from wirespark.llm.common import doc_texts, staged, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_symbols() -> dict[int, str]:
+    """The character by which byte-level vocabularies show each byte: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordTokens:
-    """A tokenizer file of the tokenizers library, asked once for each distinct chunk."""
+    """A tokenizer file of the tokenizers library, asked once for each distinct chunk.
+
+    Chunks of Latin letters, perhaps with a mark after them, are one word to either pre-tokenizer; they go straight to
+    the library's model. All others pass its whole chain.
+    """
 
-    def __init__(self, path: str, lead: str):
+    def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.wide = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.chunks = ChunkEncoder(self._encode_many, lead)
-        #: What stands between chunks that are encoded in one call: alone it is one token, and merges with neither side.
-        self.mark, self.between = ("\n", "\n") if lead else ("\0", " \0 ")
-        (self.mark_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.packed = "H" if self.wide.itemsize == 2 else "I"
+        self.spaced, self.symbols, self.tails = spaced, byte_symbols(), {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.chunks = ChunkEncoder(self._encode_many, spaced, 800_000)
+
+    def _word(self, word: str, tokenize) -> bytes:
+        shown = word if self.spaced else word.lower()
+        if shown.isascii():
+            shown = "\u0120" + shown[1:] if shown[0] == " " else shown
+        else:
+            shown = shown.encode().decode("latin-1").translate(self.symbols)
+        return array(self.packed, [x.id for x in tokenize(shown)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
 
     def _encode_many(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(chunks)
-        lead = len(self.chunks.lead)
-        plain = [k for k, x in enumerate(chunks) if (y := x.strip()) and len(y) == len(x) - lead < 200 and self.mark not in y]
-        alone = set(range(len(chunks))).difference(plain)
-        for at in range(0, len(plain), 1000):
-            group = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(self.between.join([chunks[k] for k in group]), add_special_tokens=False).ids, self.wide)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(group) - 1:
-                alone.update(group)
+        out, tokenize, words, tails = [], self.tokenizer.model.tokenize, self.words, self.tails
+        for x in chunks:
+            word = x.rstrip(".,!?;:")
+            letters = word[1:] if self.spaced and word[:1] == " " else word
+            if not letters.isalpha() or len(x) > LONGEST_KEPT or not (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
+                out.append(self._whole(x))
                 continue
-            data, wide = ids.tobytes(), self.wide.itemsize
-            starts = [0, *((cuts + 1) * wide).tolist()]
-            ends = [*(cuts * wide).tolist(), len(data)]
-            for k, a, b in zip(group, starts, ends):
-                out[k] = data[a:b]
-        rest = sorted(alone)
-        for k, x in zip(rest, self.tokenizer.encode_batch([chunks[k] for k in rest], add_special_tokens=False)):
-            out[k] = np.array(x.ids, self.wide).tobytes()
+            code = words.get(word)
+            if code is None:
+                code = self._word(word, tokenize)
+                if len(words) < 500_000:
+                    words[word] = code
+            tail = x[len(word) :]
+            if tail not in tails:
+                tails[tail] = self._whole(tail)
+            out.append(code + tails[tail])
         return out
 
     def encode(self, texts) -> Iterator[np.ndarray]:
@@ -68,20 +89,22 @@ class WordTokens:
             yield np.frombuffer(code, self.wide)
 
 
-_made: dict[tuple[str, str], WordTokens] = {}
+_made: dict[tuple[str, bool], WordTokens] = {}
 
 
-def tokens_of(path: str, lead: str) -> WordTokens:
-    if (path, lead) not in _made:
-        _made[path, lead] = WordTokens(path, lead)
-    return _made[path, lead]
+def tokens_of(path: str, spaced: bool) -> WordTokens:
+    """spaced: whether the tokenizer's tokens hold the space before them."""
+    if (path, spaced) not in _made:
+        gc.disable()  # the memo holds millions of small objects and no cycles; walking them is wasted time
+        _made[path, spaced] = WordTokens(path, spaced)
+    return _made[path, spaced]
 
 
 def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFrame:
     """One row for each piece of at most `most` ids of each document with its end id."""
 
     def run(batches):
-        codec = tokens_of(path, "")  # this tokenizer drops white space, so a chunk has the same ids everywhere
+        codec = tokens_of(path, False)  # this tokenizer drops white space, so a chunk has the same ids everywhere
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), codec.encode(batch.column("text").to_pylist())):
