@@ -71,13 +71,13 @@ def test_members_of_a_band_are_linked_through_others(tmp_path):
     # 1 and 2 are in no component with their head; they are linked with each other
     x = shingle_set(" ".join(f"w{i}" for i in range(100)), 3)
     y = np.unique(np.concatenate([x[:-3], x[:2] + np.uint64(1 << 20)]))
-    data = b"".join(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in (x, y))
-    (tmp_path / "s").write_bytes(data)
-    pointers = [(f"{tmp_path}/s", 0, len(x)), (f"{tmp_path}/s", 6 * len(x), len(y))]
+    data = [signature(s).tobytes() + np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in (x, y)]
+    (tmp_path / "s.sets").write_bytes(b"".join(data))
+    pointers = [("s", 0, len(x)), ("s", len(data[0]), len(y))]
     sigs = np.stack([signature(x), signature(y)])
     both = [0, 1]
-    assert links_among([1, 2], [1, 2], 0, pointers, sigs, 85, SetStore(), both, both) == [(1, 2)]
-    assert links_among([1, 2], [1, 1], 0, pointers, sigs, 85, SetStore(), both, both) == []
+    assert links_among([1, 2], [1, 2], {0}, pointers, sigs, 85, SetStore(str(tmp_path)), both, both) == [(1, 2)]
+    assert links_among([1, 2], [1, 1], {0}, pointers, sigs, 85, SetStore(str(tmp_path)), both, both) == []
 
 
 def test_components(spark):

@@ -6,8 +6,9 @@ BANDS bands of ROWS values meet at similarity 0.85 but for a chance of 6e-11, at
 compared in full, so no link is taken on an estimate.
 
 Equal sets are one class, found by digest. Classes that share a band are first compared with the smallest class of that
-band (as many pairs as classes, not all pairs); the links found give components. Where members of a band are still in
-different components, they are compared with each other inside tasks of bounded groups, most similar first, skipping
+band (as many pairs as classes, not all pairs), then, where members are still in different components, with another
+class, a different one for each band; the links found give components. Members that are in different components even so
+are compared with each other inside tasks of bounded groups, most similar first, skipping
 pairs that have become connected: every link that matters is found, and rows never grow with the square of a group.
 Full sets stay in files of the shared folder, and rows carry pointers to them, so sets are never shuffled.
 
@@ -30,14 +31,21 @@ from pyspark.sql import functions as F
 
 from wirespark.llm.common import doc_texts, shared_path, staged, table
 from wirespark.llm.graph import components
+from wirespark.llm.katz import pack, small, unpack
 from wirespark.llm.storage import filesystem, open_file
 
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Below this estimate of similarity a pair isn't compared in full: 8 standard deviations under the threshold.
-LEAST_ESTIMATE = 0.5
+SIGNATURE_BYTES = 8 * PERMUTATIONS
 #: Members of a band that one task compares with each other at a time.
-GROUP = 256
+GROUP = 1024
+
+
+def least_estimate(percent: int) -> float:
+    """Below this estimate of similarity a pair isn't compared in full: 6.5 standard deviations under the threshold."""
+    s = percent / 100
+    return s - 6.5 * (s * (1 - s) / (2 * PERMUTATIONS)) ** 0.5
+
 
 _rng = np.random.default_rng(20240501)
 _FACTORS = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -88,11 +96,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, folder: str) -> DataFrame:
-    """row, doc_id, n_shingles, digest, sig, and file, at: where the full set is."""
+    """row, doc_id, text_hash, n_shingles, digest, and file, at: where signature and full set are, one after the other."""
 
     def run(batches):
-        path = f"{folder}/{uuid.uuid4().hex}.sets"  # an attempt's own file: rows of the attempt that counts name it
-        fs, name = filesystem(path)
+        file = uuid.uuid4().hex  # an attempt's own file: rows of the attempt that counts name it
+        fs, name = filesystem(f"{folder}/{file}.sets")
         fs.create_dir(name.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(name) as out:
             at = 0
@@ -101,39 +109,46 @@ def signatures(docs: DataFrame, size: int, folder: str) -> DataFrame:
                 for text in batch.column("text").to_pylist():
                     s = shingle_set(text, size)
                     if not len(s):
-                        rows.append((0, None, None, at))
+                        rows.append((0, None, at))
                         continue
-                    data = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()  # the upper 48 bits
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes(), at))
+                    data = signature(s).tobytes() + np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()  # the upper 48 bits
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), at))
                     out.write(data)
                     at += len(data)
-                columns = list(zip(*rows)) or [()] * 4
+                columns = list(zip(*rows)) or [()] * 3
                 yield pa.record_batch(
-                    [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))), pa.array([path] * len(rows), pa.string())],
-                    ["doc_id", "n_shingles", "digest", "sig", "at", "file"],
+                    [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()))), pa.array([file] * len(rows), pa.string())],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "at", "file"],
                 )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, at long, file string").withColumn("row", F.monotonically_increasing_id())
+    rows = doc_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, at long, file string").withColumn("row", F.monotonically_increasing_id())
 
 
 class SetStore:
-    """Reads sets by pointer; keeps the files open and the latest sets."""
+    """Reads signatures and sets by pointer (file, at, n); keeps the files open and the latest sets."""
 
-    def __init__(self, most: int = 600):
+    def __init__(self, folder: str, most: int = 600):
+        self.folder, self.most = folder, most
         self.files: dict = {}
         self.sets: OrderedDict = OrderedDict()
-        self.most = most
+
+    def read(self, file: str, at: int, size: int) -> bytes:
+        if file not in self.files:
+            if len(self.files) > 100:
+                self.files.popitem()[1].close()
+            self.files[file] = open_file(f"{self.folder}/{file}.sets")
+        self.files[file].seek(at)
+        return self.files[file].read(size)
+
+    def signature(self, file: str, at: int) -> np.ndarray:
+        return np.frombuffer(self.read(file, at, SIGNATURE_BYTES), np.uint32)
 
     def get(self, file: str, at: int, n: int) -> np.ndarray:
         key = file, at
         if key not in self.sets:
-            if file not in self.files:
-                if len(self.files) > 100:
-                    self.files.popitem()[1].close()
-                self.files[file] = open_file(file)
-            self.files[file].seek(at)
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(self.files[file].read(6 * n), np.uint8).reshape(n, 6)
+            wide[:, :6] = np.frombuffer(self.read(file, at + SIGNATURE_BYTES, 6 * n), np.uint8).reshape(n, 6)
             self.sets[key] = wide.view(np.uint64).reshape(-1)
             if len(self.sets) > self.most:
                 self.sets.popitem(last=False)
@@ -145,31 +160,49 @@ class SetStore:
         return 100 * both >= percent * (a[2] + b[2] - both)
 
 
-def _banded(classes: DataFrame) -> DataFrame:
-    """key, node, n for each band of each class."""
+def bands(classes: DataFrame, folder: str, parts: int) -> DataFrame:
+    """key, node, n, head, head_n for each band of two classes or more; head is its smallest class.
 
-    def run(batches):
+    Band keys travel as packed arrays, so a band of many classes is one of many in a part, and rows are made for shared bands only.
+    """
+
+    def send(batches):
+        store = SetStore(folder)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            nodes, sizes = np.array(batch.column("node")), np.array(batch.column("n"))
+            pointers = zip(batch.column("file").to_pylist(), batch.column("at").to_pylist())
+            sigs = np.stack([store.signature(*x) for x in pointers]) if batch.num_rows else np.zeros((0, 2 * PERMUTATIONS), np.uint32)
             keys = band_keys(sigs).reshape(-1)
-            yield pa.record_batch(
-                [pa.array(keys, pa.int64()), pa.array(np.repeat(np.array(batch.column("node")), BANDS), pa.int64()), pa.array(np.repeat(np.array(batch.column("n")), BANDS), pa.int64())],
-                ["key", "node", "n"],
-            )
-
-    return classes.select("node", "n", "sig").mapInArrow(run, "key long, node long, n long")
+            part = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+            nodes, sizes = np.repeat(nodes, BANDS), np.repeat(sizes, BANDS)
+            by = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[by], np.arange(parts + 1).astype(np.uint64))
+            data = [pack(keys[i], nodes[i], small(sizes[i])) for i in (by[a:b] for a, b in zip(ends, ends[1:]))]
+            yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    def meet(key, group):
+        arrays = [unpack(x) for x in group.column("data").to_pylist()]
+        keys, nodes, sizes = (np.concatenate([a[k] for a in arrays]) for k in range(3))
+        by = np.lexsort((nodes, keys))
+        keys, nodes, sizes = keys[by], nodes[by], sizes[by].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        many = np.diff(np.append(first, len(keys)))
+        head, keep = np.repeat(first, many), np.repeat(many, many) > 1
+        return pa.table({"key": keys[keep], "node": nodes[keep], "n": sizes[keep], "head": nodes[head][keep], "head_n": sizes[head][keep]})
+
+    near = classes.repartition(parts, "file", F.floor(F.col("at") / (8 << 20))).sortWithinPartitions("file", "at")
+    sent = near.select("node", "n", "file", "at").mapInArrow(send, "part int, data binary")
+    return sent.groupBy("part").applyInArrow(meet, "key long, node long, n long, head long, head_n long")
 
 
 _POINTERS = ("file", "at", "n")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, percent: int, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int, parts: int, folder: str) -> DataFrame:
     """The links among pairs a, b."""
 
     def run(batches):
-        store = SetStore()
+        store = SetStore(folder)
         for batch in batches:
             r = batch.to_pydict()
             a, b = (list(zip(*(r[f"{x}_{k}"] for k in _POINTERS))) for x in "ab")
@@ -181,53 +214,62 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int, parts: int) ->
     return pairs.repartition(parts).mapInArrow(run, "a long, b long")
 
 
-def links_among(nodes: list[int], components_: list[int], heads: int, pointers: list[tuple], sigs: np.ndarray, percent: int, store: SetStore, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Links that connect members of one band which are in different components, most similar first."""
-    root = {c: c for c in components_}
+def links_among(nodes: list[int], components_: list[int], heads: set[int], pointers: list[tuple], sigs: np.ndarray, percent: int, store: SetStore, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """Links that connect members of one band which are in different components; each member tries the most similar of the others first.
 
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    found, tried = [], []
-    sizes, own = np.array([p[2] for p in pointers]), np.array(components_)
+    Members that have become connected aren't compared any more. Memory is in proportion to the members, not to their pairs.
+    """
+    own, sizes = np.array(components_), np.array([p[2] for p in pointers])
+    tested = np.array([n in heads for n in nodes])  # the head has met all members before
+    others_of, found = np.array(right, np.int64), []
     for i in left:
-        others = np.array([j for j in right if j != i and (left is not right or j > i)], np.int64)
-        if not len(others):
+        others = others_of[others_of > i] if left is right else others_of
+        fits = (own[others] != own[i]) & ~tested[others] & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))
+        near = others[fits]
+        if tested[i] or not len(near):
             continue
-        near = others[(own[others] != own[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
-        if len(near):
-            estimate = (sigs[near] == sigs[i]).mean(1)
-            tried += [(-e, i, j) for e, j in zip(estimate.tolist(), near.tolist()) if e >= LEAST_ESTIMATE and heads not in (nodes[i], nodes[j])]
-    for _, i, j in sorted(tried):
-        a, b = find(components_[i]), find(components_[j])
-        if a != b and store.similar(pointers[i], pointers[j], percent):
-            root[b] = a
-            found.append((nodes[i], nodes[j]))
+        estimate = (sigs[near] == sigs[i]).mean(1)
+        likely = np.flatnonzero(estimate >= least_estimate(percent))
+        for j in near[likely[np.argsort(-estimate[likely], kind="stable")]].tolist():
+            if own[i] != own[j] and store.similar(pointers[i], pointers[j], percent):
+                own[own == own[j]] = own[i]
+                found.append((nodes[i], nodes[j]))
     return found
 
 
-def _remaining(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a band (none its head) that are still in different components."""
+def _open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of bands, without their heads, where these are in different components; m: how many."""
     member = shared.filter("node != head").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).filter("c1 != c2").select("key", "m")
-    rows = member.join(open_, "key").withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return member.join(open_, "key")
+
+
+def _second_star(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of open bands with another centre, a different one for each band."""
+    member = _open_members(shared, labels)
+    centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("x"), "node", "n", "component")).alias("c"))
+    pairs = member.join(centre, "key").filter("component != c.component")
+    fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+    return pairs.filter(fits).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def _remaining(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Links between members of a band (none its head) that are still in different components."""
+    rows = _open_members(shared, labels).withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "head")
-    rows = rows.join(classes.select("node", "sig", *_POINTERS), "node")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "head", "n")
+    rows = rows.join(classes.select("node", "file", "at"), "node")
 
     def run(batches):
-        store, at, group = SetStore(), None, []
+        store, at, group = SetStore(folder), None, []
 
         def done():
-            nodes = [r["node"] for r in group]
-            sigs = np.frombuffer(b"".join(r["sig"] for r in group), np.uint32).reshape(len(group), -1)
             everyone = list(range(len(group)))
+            pointers = [tuple(r[k] for k in _POINTERS) for r in group]
+            sigs = np.stack([store.signature(*x[:2]) for x in pointers])
             left = [k for k in everyone if group[k]["block"] == at[1]]
             right = left if at[1] == at[2] else [k for k in everyone if group[k]["block"] == at[2]]
-            return links_among(nodes, [r["component"] for r in group], group[0]["head"], [tuple(r[k] for k in _POINTERS) for r in group], sigs, percent, store, left, right)
+            return links_among([r["node"] for r in group], [r["component"] for r in group], {group[0]["head"]}, pointers, sigs, percent, store, left, right)
 
         for batch in batches:
             found = []
@@ -248,29 +290,42 @@ def _pairs(found):
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """row, doc_id, n_shingles, component_id (smallest doc_id reachable), first (the row that stands for its component)."""
+    """row, doc_id, text_hash, n_shingles, component (a number of its own for each), component_id (the smallest doc_id reachable)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged(signatures(docs, size, shared_path(spark, "sets")), "signatures")
-    some = rows.filter("n_shingles > 0")
-    by_digest = staged(some.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "classes")
-    reps = some.join(by_digest.select(F.col("node").alias("row")), "row")
-    classes = staged(reps.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sig", "file", "at"), "representatives")
-    bands = _banded(classes)
-    heads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("key", F.col("h.node").alias("head"), F.col("h.n").alias("head_n"))
-    shared = staged(bands.join(heads, "key"), "bands")
+    parts, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "sets")
+    rows = staged(signatures(docs, size, folder), "signatures")
+    by_digest = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row", "n_shingles", "file", "at")).alias("r"), F.min("doc_id").alias("low"))
+    classes = staged(by_digest.select("digest", "low", F.col("r.row").alias("node"), F.col("r.n_shingles").alias("n"), "r.file", "r.at"), "classes")
+    shared = staged(bands(classes, folder, parts), "bands")
     fits = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     star = shared.filter((F.col("node") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(_verified(star, classes, percent, parts), "links")
+    links = staged(_verified(star, classes, percent, parts, folder), "links")
     labels = staged(components(links), "labels")
-    more = staged(_remaining(shared, labels, classes, percent), "links")
-    if not more.isEmpty():
-        labels = staged(components(links.unionByName(more)), "labels")
-    named = by_digest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    for step in (1, 2):
+        if step == 1:
+            more = _verified(_second_star(shared, labels, percent), classes, percent, parts, folder)
+        else:
+            more = _remaining(shared, labels, classes, percent, folder)
+        more = staged(more, "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = staged(components(links), "labels")
+    named = classes.select("digest", "low", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = staged(named.join(least, "component").select("digest", "component_id"), "components")
-    full = rows.select("row", "doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    return full.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = named.join(least, "component").select("digest", "component", "component_id")
+    full = rows.select("row", "doc_id", "text_hash", "n_shingles", "digest").join(of_class, "digest", "left")
+    alone = -F.col("row") - 1  # what has no words is in no class
+    return full.select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component", alone).alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest doc_id of each component, all columns as they are."""
+    found = near_duplicates(docs, size, percent)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("b"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    kept = best.select(F.coalesce("b.doc_id", F.lit(0)).alias("k1"), F.col("b.text_hash").alias("k2")).withColumn("k3", F.lit(1))
+    rows = docs.select(F.struct("*").alias("r"), key.alias("k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k2"))
+    return rows.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("r.*")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
