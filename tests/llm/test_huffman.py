@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from wirespark.llm import huffman
 from wirespark.llm.huffman import BLOCK, TokenFile, canonical, code_lengths, decode_table, file_parts, op9_token_binary, pack_bits, unpack_bits
 from wirespark.llm.storage import write_file
 
@@ -49,11 +50,12 @@ def test_bits_round_trip_from_any_checkpoint():
             assert unpack_bits(data, offsets, n, lookup, width).tolist() == ids.tolist()
 
 
-def test_file_round_trip_with_bounded_groups(tmp_path):
+def test_file_round_trip_with_bounded_groups(tmp_path, monkeypatch):
     rng = np.random.default_rng(3)
     docs = [(rng.zipf(1.3, int(n)) % 500).astype(np.uint32) for n in [0, 1, 5000, 3, 20_000, 1024, 0]]
     lengths = code_lengths(np.bincount(np.concatenate(docs), minlength=500))
-    write_file(f"{tmp_path}/a.huft", file_parts(list(range(7)), docs, lengths))
+    monkeypatch.setattr(huffman, "SECTION", 5000)
+    write_file(f"{tmp_path}/a.huft", file_parts(enumerate(docs), lengths))
     for group in (1, 3, 4096):
         at = 0
         for (doc_id, start, ids), want in zip(TokenFile(f"{tmp_path}/a.huft").documents(group), docs):
