@@ -36,19 +36,19 @@ class ChunkEncoder:
         for group in slabs(texts):
             yield from self._slab(group)
 
-    def _cut(self, text: str) -> tuple[str, list[str], list[str]]:
-        """The first chunk, the others, and those of them that the memo doesn't have."""
-        memo = self.memo
+    def _cut(self, text: str) -> tuple[str, list[str], list]:
+        """The first chunk, the others, and their codes, None for those that the memo doesn't have."""
+        find = self.memo.get
         if not self.spaced:
             parts = text.split() if not SEPARATORS.search(text) else BORDER.split(text)
-            return "", parts, [x for x in parts if x not in memo]
+            return "", parts, list(map(find, parts))
         first, *parts = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
-        unknown = [x for x in parts if x not in memo]
+        codes = list(map(find, parts))
         plain = first == "" == text or first and not first[0].isspace() and not first[-1].isspace()
-        if not plain or not all(x and not x[-1].isspace() and (x[0] == "\n" and not x[1].isspace() or not x[0].isspace()) for x in unknown):
+        if not plain or not all(x and not x[-1].isspace() and (x[0] == "\n" and not x[1].isspace() or not x[0].isspace()) for x, c in zip(parts, codes) if c is None):
             first, *parts = BORDER.split(text)
-            unknown = [x for x in parts if x not in memo]
-        return first, parts, unknown
+            codes = list(map(find, parts))
+        return first, parts, codes
 
     def _slab(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
@@ -57,22 +57,22 @@ class ChunkEncoder:
         self.seen, self.missed = self.seen // 2, self.missed // 2
         cut, new, heads = [], {}, {}
         for text in texts:
-            first, parts, unknown = self._cut(text)
-            new.update(dict.fromkeys(unknown))
+            first, parts, codes = self._cut(text)
+            gaps = [k for k, c in enumerate(codes) if c is None]
+            for k in gaps:
+                new[parts[k]] = None
             heads[first] = None
             self.seen += len(parts)
-            self.missed += len(unknown)
-            cut.append((first, parts))
+            self.missed += len(gaps)
+            cut.append((first, parts, codes, gaps))
         space = " " if self.spaced else ""
         fresh = dict(zip(new, self.encode_many([x if x[:1] == "\n" else space + x for x in new])))
         heads = dict(zip(heads, self.encode_many(list(heads))))
-        full = len(memo) + len(fresh) > self.most  # frequent chunks come early, so a full memo keeps what it has
-        if not full:
+        if len(memo) + len(fresh) <= self.most:  # frequent chunks come early, so a full memo keeps what it has
             memo.update(fresh if max(map(len, fresh), default=0) <= LONGEST_KEPT else {x: c for x, c in fresh.items() if len(x) <= LONGEST_KEPT})
         out = []
-        for first, parts in cut:
-            try:
-                out.append(heads[first] + b"".join(map(memo.__getitem__, parts)))
-            except KeyError:
-                out.append(heads[first] + b"".join([memo[x] if x in memo else fresh[x] for x in parts]))
+        for first, parts, codes, gaps in cut:
+            for k in gaps:
+                codes[k] = fresh[parts[k]]
+            out.append(heads[first] + b"".join(codes))
         return out

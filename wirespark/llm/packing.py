@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import gc
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,23 +48,23 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.wide = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.packed = "H" if self.wide.itemsize == 2 else "I"
+        self.codes = [k.to_bytes(self.wide.itemsize, "little") for k in range(self.size)]
         self.spaced, self.symbols, self.tails = spaced, byte_symbols(), {"": b""}
         self.words: dict[str, bytes] = {}
         self.chunks = ChunkEncoder(self._encode_many, spaced, 800_000)
 
     def _word(self, word: str, tokenize) -> bytes:
-        shown = word if self.spaced else word.lower()
-        if shown.isascii():
-            shown = "\u0120" + shown[1:] if shown[0] == " " else shown
+        if word.isascii():
+            shown = "\u0120" + word[1:] if word[0] == " " else word
         else:
-            shown = shown.encode().decode("latin-1").translate(self.symbols)
-        return array(self.packed, [x.id for x in tokenize(shown)]).tobytes()
+            shown = word.encode().decode("latin-1").translate(self.symbols)
+        return b"".join([self.codes[x.id] for x in tokenize(shown)])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
 
     def _encode_many(self, chunks: list[str]) -> list[bytes]:
+        lower = not self.spaced  # that tokenizer lowers case
         out, tokenize, words, tails = [], self.tokenizer.model.tokenize, self.words, self.tails
         for x in chunks:
             word = x.rstrip(".,!?;:")
@@ -73,12 +72,14 @@ class WordTokens:
             if not letters.isalpha() or len(x) > LONGEST_KEPT or not (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
                 out.append(self._whole(x))
                 continue
+            tail = x[len(word) :]
+            if lower:
+                word = word.lower()
             code = words.get(word)
             if code is None:
                 code = self._word(word, tokenize)
-                if len(words) < 500_000:
+                if len(words) < 900_000:
                     words[word] = code
-            tail = x[len(word) :]
             if tail not in tails:
                 tails[tail] = self._whole(tail)
             out.append(code + tails[tail])
@@ -100,6 +101,11 @@ def tokens_of(path: str, spaced: bool) -> WordTokens:
     return _made[path, spaced]
 
 
+def release() -> None:
+    """Give up the memos, in steps of a job that don't tokenise."""
+    _made.clear()
+
+
 def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFrame:
     """One row for each piece of at most `most` ids of each document with its end id."""
 
