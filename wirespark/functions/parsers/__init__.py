@@ -5,23 +5,45 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
 
 
-def column(parse, kind: DataType | str):
-    """A parser of one value as a column function, by Arrow batches."""
+def field_names(ddl: str) -> list[str]:
+    """Names of the fields of a struct: what stands first between commas that no bracket holds."""
+    depth, parts, at = 0, [], 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and depth == 0:
+            parts.append(ddl[at:i].split()[0].strip("`"))
+            at = i + 1
+    return parts
 
-    def of(*inputs: Column | str) -> Column:
-        struct = isinstance(kind, StructType)
 
-        @F.pandas_udf(kind)
-        def run(*series: pd.Series) -> pd.Series | pd.DataFrame:
-            values = [parse(*(bytes(x) if isinstance(x, (bytes, bytearray, memoryview)) else x for x in row)) if row[0] is not None else None for row in zip(*series)]
-            if struct:
-                rows = [v or {} for v in values]
-                return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in kind.fields})
-            return pd.Series(values, dtype=object)
+def array_of(ddl: str) -> str:
+    return f"array<struct<{ddl}>>"
 
-        return run(*inputs)
+
+def column(parse, kind: str, struct: bool | None = None):
+    """A parser of one value as a column function, by Arrow batches. kind: DDL of a type, or of the fields of a struct."""
+    struct = " " in kind.split("<")[0].strip() if struct is None else struct
+
+    def values(x: pd.Series) -> list:
+        return [None if v is None else parse(bytes(v) if isinstance(v, (bytes, bytearray, memoryview)) else v) for v in x]
+
+    def of(value: Column | str) -> Column:
+        if struct:
+            names = field_names(kind)
+
+            @F.pandas_udf(kind)
+            def run(x: pd.Series) -> pd.DataFrame:
+                rows = [v or {} for v in values(x)]
+                return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+        else:
+
+            @F.pandas_udf(kind)
+            def run(x: pd.Series) -> pd.Series:
+                return pd.Series(values(x), dtype=object)
+
+        return run(value)
 
     return of

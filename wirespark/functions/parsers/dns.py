@@ -5,10 +5,8 @@ from __future__ import annotations
 import ipaddress
 import struct
 
-from pyspark.sql.types import ArrayType
-
 from wirespark.dims import DNS_RCODES, DNS_TYPES
-from wirespark.functions.parsers import column
+from wirespark.functions.parsers import array_of, column
 from wirespark.schemas import DNS_RECORD
 
 MOST_RECORDS, MOST_LABEL, MOST_NAME, MOST_JUMPS = 256, 63, 255, 10
@@ -123,4 +121,4 @@ def records(data: bytes, chase_cname: bool = False) -> list[dict]:
     return out
 
 
-parsed = column(records, ArrayType(DNS_RECORD))
+parsed = column(records, array_of(DNS_RECORD))

@@ -107,12 +107,10 @@ def carve(data: bytes, best_only: bool = False, signatures=CARVING) -> list[dict
 
 def carved(rows: DataFrame, data: str, best_only: bool = False) -> DataFrame:
     """rows without data, one for each file found in it (metadata only)."""
-    from pyspark.sql.types import ArrayType
-
-    from wirespark.functions.parsers import column
+    from wirespark.functions.parsers import array_of, column
     from wirespark.schemas import CARVED_FILE
 
-    find = column(lambda b: carve(b, best_only), ArrayType(CARVED_FILE))
+    find = column(lambda b: carve(b, best_only), array_of(CARVED_FILE))
     return rows.withColumn("f", F.explode(find(data))).drop(data).select("*", "f.*").drop("f")
 
 
@@ -184,14 +182,13 @@ def written_files(chunks: DataFrame, key: list[str]) -> DataFrame:
 
 def hash_chain(rows: DataFrame, chain: list[str], order: str, data: str) -> DataFrame:
     """Links of each chain, in order: index, data_hash, chain_hash."""
-    from wirespark.functions.encoding import blake3, chain_hash
+    from wirespark.functions.encoding import blake3_many, chain_hash
 
     schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in [*chain, order]) + ", index long, data_hash string, chain_hash string"
 
     def run(key, pdf):
         pdf, before, out = pdf.sort_values(order, kind="stable"), bytes(32), []
-        for n, (at, x) in enumerate(zip(pdf[order], pdf[data])):
-            own = blake3(bytes(x))
+        for n, (at, own) in enumerate(zip(pdf[order], blake3_many([bytes(x) for x in pdf[data]]))):
             before = chain_hash(n, own, before, int(at))
             out.append([*key, at, n, own.hex(), before.hex()])
         return pd.DataFrame(out, columns=[*chain, order, "index", "data_hash", "chain_hash"])

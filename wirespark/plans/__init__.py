@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["traffic", "text"]
+_MODULES = ["traffic", "text", "network"]
 
 
 def _load():

@@ -12,3 +12,15 @@ def filesystem(path: str):
     if where.scheme in ("", "file"):
         return fs.LocalFileSystem(), where.path
     return fs.FileSystem.from_uri(path)
+
+
+def scratch(spark, name: str) -> str:
+    """A folder of its own in shared storage: spark.checkpoint.dir where the cluster sets it."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wirespark-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
