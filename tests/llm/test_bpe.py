@@ -65,3 +65,8 @@ def test_stream_emits_after_bounded_lookahead_and_survives_small_memos():
     assert got == whole == fst.encode(data)
     assert most <= 4 * max(map(len, ranks))
     assert b"".join(fst.token_bytes[x] for x in got) == data
+
+
+def test_rows_without_an_id(spark, tables):
+    tables.make("documents", [(None, "some words here", "en"), (None, None, None), (1, "some words here", "en")], "doc_id long, text string, lang string")
+    assert sorted(str(r.doc_id) for r in op1_byte_bpe(spark, tables).collect()) == ["1", "None", "None"]

@@ -79,6 +79,9 @@ def test_against_plain_model(spark, tables):
     rows = corpus()
     tables.make("documents", [(*r, True, 5) for r in rows], "doc_id long, text string, held_out boolean, n_tokens int")
     same(op8_lm_scoring(spark, tables).collect(), list(Plain(rows, held).results()))
+    tables.make("documents", [(None, "w1 w2"), (1, "w1")], "doc_id long, text string")
+    assert {(r.doc_id, r.held_out, r.n_tokens) for r in op8_lm_scoring(spark, tables).collect()} == {(None, False, 3), (1, held(1), 2)}
+    tables.make("documents", rows, "doc_id long, text string")
     docs = spark.read.parquet(f"{tables}/documents.parquet").repartition(5)
     many = score_documents(docs, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) == 2, block=300, hot_least=20)
     same(many.collect(), list(Plain(rows, held).results()))

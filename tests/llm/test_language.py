@@ -47,3 +47,8 @@ def test_query(spark, tables):
     assert op5_language_id(spark, tables).count() == 0
     tables.make("documents", [(1, "text", None)], "doc_id long, text string, lang string")
     assert op5_language_id(spark, tables).first().lang_pred == "und"
+
+
+def test_rows_without_an_id(spark, tables):
+    tables.make("documents", [(None, "some words here", "en"), (None, None, None), (1, "some words here", "en")], "doc_id long, text string, lang string")
+    assert sorted(str(r.doc_id) for r in op5_language_id(spark, tables).collect()) == ["1", "None", "None"]

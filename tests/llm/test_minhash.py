@@ -87,3 +87,8 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {x: 100 for x in range(100, 140)} | {200: 200, 201: 200, 205: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_an_id(spark, tables):
+    tables.make("documents", [(None, "some words here", "en"), (None, None, None), (1, "some words here", "en")], "doc_id long, text string, lang string")
+    assert sorted(str(r.doc_id) for r in op10_minhash_dedup(spark, tables).collect()) == ["1", "None", "None"]

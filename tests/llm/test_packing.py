@@ -74,3 +74,8 @@ def test_shards_meet_again(spark):
     got = packed(pieces, 2048, shard_rows=500).collect()
     assert len(got) == 3000
     assert len({r.sequence_id for r in got}) <= 1.02 * sum(r.length for r in got) / 2048
+
+
+def test_rows_without_an_id(spark, tables):
+    tables.make("documents", [(None, "some words here", "en"), (None, None, None), (1, "some words here", "en")], "doc_id long, text string, lang string")
+    assert sorted(str(r.doc_id) for r in op7_best_fit_packing(spark, tables).collect()) == ["1", "None", "None"]

@@ -59,3 +59,9 @@ def test_no_labels_and_empty_tables(spark, tables):
     assert [r.predicted for r in op4_toxicity(spark, tables).collect()] == [0, 0]
     tables.make("documents", [], "doc_id long, text string")
     assert op4_toxicity(spark, tables).count() == 0
+
+
+def test_rows_without_an_id(spark, tables):
+    tables.make("documents", [(None, "some words here"), (None, None), (1, "some words here")], "doc_id long, text string")
+    tables.make("labels", [(1, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(str(r.doc_id) for r in op4_toxicity(spark, tables).collect()) == ["1", "None", "None"]

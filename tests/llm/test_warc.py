@@ -33,6 +33,8 @@ def test_crc_of_joined_parts():
 def test_query(spark, tables):
     tables.make("pages", rows(), SCHEMA)
     assert sorted((tuple(r) for r in op2_warc(spark, tables).collect()), key=str) == expected(rows())
+    tables.make("pages", [(None, "u", "same", "x"), (1, "u", "same", "x")], SCHEMA)
+    assert {(r.page_id, r.record_type) for r in op2_warc(spark, tables).collect()} == {(None, "response"), (1, "response")}
     tables.make("pages", [], SCHEMA)
     assert op2_warc(spark, tables).count() == 0
 

@@ -41,6 +41,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a missing id where ids are kept as plain 64-bit numbers.
+NO_ID = -(1 << 63)
+
+
 def slabs(texts: Iterable[str], most: int = 1 << 20) -> Iterable[list[str]]:
     """Consecutive texts in groups of about `most` characters, so that a batch of long texts needs bounded memory."""
     group: list[str] = []
@@ -61,8 +65,8 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def fold(column: str = "doc_id", parts: int = 4):
-    """crc32 of the id as text, modulo parts: the folds that keep held-out rows out of training."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo parts: the folds that keep held-out rows out of training. Rows without an id are in none (-1)."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def struct_type(ddl: str) -> T.StructType:

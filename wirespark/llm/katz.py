@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, fold, shared_path, staged, table
+from wirespark.llm.common import NO_ID, doc_texts, fold, shared_path, staged, table
 from wirespark.llm.storage import filesystem, open_file
 
 BLOCK = 1 << 21
@@ -170,7 +170,7 @@ def tokenised(docs: DataFrame, held_out: Column, folder: str, parts: int, block:
         with fs.open_output_stream(name) as out:
             for batch in batches:
                 for doc_id, text, flag in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "held_out"))):
-                    ids.append(doc_id if doc_id is not None else 0)
+                    ids.append(NO_ID if doc_id is None else doc_id)
                     held.append(bool(flag))
                     found.append(hashes(text))
                     size += len(found[-1])
@@ -348,7 +348,7 @@ def evaluated(replies: DataFrame, pairs: DataFrame, parts: int, unigrams: Unigra
         base = np.log10((counts[tokens] + 1.0) / (unigrams.total + unigrams.types + 1.0))
         starts = np.cumsum(sizes) - sizes
         return pa.table({
-            "doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()),
+            "doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()),
             "n_known": pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()), "score": pa.array(np.add.reduceat(score, starts), pa.float64()),
         })

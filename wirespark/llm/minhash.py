@@ -330,4 +330,4 @@ def without_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

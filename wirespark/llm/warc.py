@@ -10,7 +10,8 @@ member length what the predicates or the chosen columns don't want: a payload is
 
 Defined results: null html is an empty payload; equal payloads of at least `least` bytes become one response, that of
 the smallest page_id, and revisits; smaller ones stay responses; repeated rows (the same page_id and payload) are
-responses if they are the first of their payload, else revisits; an empty table gives no records; other columns are ignored.
+responses if they are the first of their payload, else revisits; rows without
+a page_id are responses; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def parse_header(head: bytes) -> dict:
         row[column] = row[column].strip("<>") if row[column] else None
     row["payload_digest"] = row["payload_digest"].removeprefix("sha1:") if row["payload_digest"] else None
     row["payload_length"] = int(fields[LENGTH_HEADER]) if LENGTH_HEADER in fields else None
-    row["page_id"] = int(row["record_id"].removeprefix(URN)) if (row["record_id"] or "").startswith(URN) else None
+    row["page_id"] = int(number) if (row["record_id"] or "").startswith(URN) and (number := row["record_id"].removeprefix(URN)) != "None" else None
     row["content_length"] = int(fields.get("Content-Length", 0))
     return row
 
@@ -280,7 +281,7 @@ def records_of(pages: DataFrame, least: int = 0) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     first = pages.groupBy(F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("sha")).agg(F.min("page_id").alias("first_id"))
     rows = pages.mapInArrow(run, "page_id long, url string, sha string, payload_length long, body binary, body_crc long").join(first, "sha")
-    revisit = (F.col("payload_length") >= least) & (F.col("page_id") != F.col("first_id"))
+    revisit = F.coalesce((F.col("payload_length") >= least) & (F.col("page_id") != F.col("first_id")), F.lit(False))
     return rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("kind"), "page_id", "url", "sha", "payload_length",
         F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(~revisit, F.col("body")).alias("body"), "body_crc",
