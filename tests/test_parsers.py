@@ -103,6 +103,11 @@ def test_tls_and_quic():
     assert quic.header(b"\x80\0\0\0\0\0\0" + struct.pack(">II", 1, 2))["supported"] == [1, 2]
 
 
+def test_quic_keys_of_the_standard():
+    # RFC 9001, A.1
+    assert [x.hex() for x in quic.initial_secrets(bytes.fromhex("8394c8f03e515708"))] == ["1f369613dd76d5467730efcbe3b1a22d", "fa044b2f42a3fd3b46fb255c", "9f50449e04a0e810283a1e9933adedd2"]
+
+
 def test_smb():
     assert smb.operation(build.smb_tree_connect("\\\\s\\ADMIN$", 9))["path"] == "\\\\s\\ADMIN$"
     w = smb.operation(build.smb_write(b"f" * 16, 4096, b"payload", 3))

@@ -74,6 +74,13 @@ PAYLOAD_SIGNATURES = [
     ("quic_initial", "web", 0, b"\xc0", 1),
 ]
 
+# --- fixed values: payload patterns of threats (matched only where asked for): name, kind, severity, bytes
+THREAT_PATTERNS = [
+    ("cobalt_strike_beacon", "c2", "critical", b"\x00\x00\xbe\xef"),
+    ("metasploit_shell", "reverse_shell", "critical", b"/bin/sh"),
+    ("powershell_encoded", "malware", "high", b"powershell -e"),
+]
+
 # --- fixed values: IP protocol numbers
 PROTOCOLS = {1: "ICMP", 6: "TCP", 17: "UDP", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6"}
 

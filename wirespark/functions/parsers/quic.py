@@ -67,4 +67,32 @@ def version_name(version: Column) -> Column:
     return mapped(version.cast("long"), VERSIONS, F.concat(F.lit("Unknown (0x"), F.lower(F.lpad(F.hex(version.cast("long")), 8, "0")), F.lit(")")))
 
 
+#: Salts of the first keys by version.
+SALTS = {0x00000001: "38762cf7f55934b34d179ae6a4c80cadccbb7f0a", 0x6B3343CF: "0dede3def700a6db819381be6e269dcbf9bd2ed9"}
+
+
+def expand_label(secret: bytes, label: str, size: int) -> bytes:
+    """HKDF-Expand-Label of TLS 1.3 with an empty context (RFC 8446, 7.1; RFC 5869)."""
+    import hashlib
+    import hmac
+
+    name = b"tls13 " + label.encode()
+    info, out, last, k = struct.pack(">H", size) + bytes([len(name)]) + name + b"\0", b"", b"", 1
+    while len(out) < size:
+        last = hmac.new(secret, last + info + bytes([k]), hashlib.sha256).digest()
+        out, k = out + last, k + 1
+    return out[:size]
+
+
+def initial_secrets(dcid: bytes, version: int = 1) -> tuple[bytes, bytes, bytes]:
+    """Client key, iv and header-protection key of the first packets (RFC 9001, 5.2)."""
+    import hashlib
+    import hmac
+
+    secret = hmac.new(bytes.fromhex(SALTS[version]), dcid, hashlib.sha256).digest()
+    client = expand_label(secret, "client in", 32)
+    head = "quicv2" if version == 0x6B3343CF else "quic"
+    return expand_label(client, f"{head} key", 16), expand_label(client, f"{head} iv", 12), expand_label(client, f"{head} hp", 16)
+
+
 headers = column(header, QUIC_HEADER)

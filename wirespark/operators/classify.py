@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirespark.dims import APP_CATEGORY, BAD_PORTS, PAYLOAD_SIGNATURES, PORT_APPS, SNI_KEYWORDS, mapped
+from wirespark.dims import APP_CATEGORY, BAD_PORTS, PAYLOAD_SIGNATURES, PORT_APPS, SNI_KEYWORDS, THREAT_PATTERNS, mapped
 
 
 def category_of(app: Column) -> Column:
@@ -93,6 +93,11 @@ def threats(flows: DataFrame) -> DataFrame:
     )
 
 
+def payload_threats(payload: str = "payload") -> Column:
+    """Names of the patterns that a payload holds; off in the cascade unless one adds it."""
+    return F.array_compact(F.array(*(F.when(F.contains(F.col(payload), F.lit(pattern)), name) for name, _, _, pattern in THREAT_PATTERNS)))
+
+
 def score_severity(score: Column) -> Column:
     return F.when(score > 5, "critical").when(score > 4, "high").when(score > 3, "medium").otherwise("low")
 

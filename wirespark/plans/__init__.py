@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["traffic", "text", "network"]
+_MODULES = ["traffic", "text", "network", "more"]
 
 
 def _load():
