@@ -24,7 +24,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and read like the trusted ones; counts are taken over docs."""
     trusted = quality.good_labels(table(spark, sf_dir, "labels"))
-    return quality.judged(docs, trusted).filter("kept").select("row.*")
+    return quality.kept_documents(docs, trusted)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

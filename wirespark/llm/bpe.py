@@ -16,7 +16,6 @@ columns of the table are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from wirespark.llm.chunks import ChunkEncoder
-from wirespark.llm.common import doc_texts, table
+from wirespark.llm.common import doc_texts, held, table
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -280,14 +279,8 @@ class ByteBpe:
             yield np.frombuffer(code, self.wide)
 
 
-_made: dict[tuple, ByteBpe] = {}
-
-
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _made:
-        gc.disable()  # the memos hold millions of small objects and no cycles; walking them costs a third of the time
-        _made[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _made[path, pattern]
+    return held(("bytes", path, pattern), lambda: ByteBpe(load_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

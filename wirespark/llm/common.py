@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What is costly to make and large, one of a kind in a worker process: when another step asks for its own, the last one goes."""
+    if key not in _held:
+        release()
+        gc.disable()  # memos hold millions of small objects and no cycles; walking them costs a third of the time
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Workers serve many steps: those that don't use the memo of another give it up."""
+    _held.clear()
+
+
 def slabs(texts: Iterable[str], most: int = 1 << 20) -> Iterable[list[str]]:
     """Consecutive texts in groups of about `most` characters, so that a batch of long texts needs bounded memory."""
     group: list[str] = []

@@ -5,12 +5,13 @@ word is longer than LIMIT bits. A file holds blocks of at most BLOCK ids that de
 bit offset of each block, so a reader can start at any of them. Blocks are decoded side by side, one table look-up for
 each id of each block.
 
-File format (numbers little-endian): magic "HUFT", u32 version, u32 symbols, u8 code length of each symbol; u64
-documents, u64 blocks, u64 ids; per document i64 doc_id and u64 ids; per block u64 bit offset; the bits, first bit
-highest in its byte, padded by 8 zero bytes.
+File format (numbers little-endian): magic "HUFT", u32 version, u32 symbols, u8 code length of each symbol; then
+sections of about SECTION ids: u64 documents, u64 blocks, u64 ids, u64 bytes of the bits; per document i64 doc_id and
+u64 ids; per block u64 bit offset; the bits, first bit highest in its byte, padded by 8 zero bytes.
 
 Files hold ranges of ascending doc_id, in the order of their names. Defined results: null text is the empty text, just the end id;
-repeated doc_ids are neighbours in the order of their contents; an empty table gives no rows; other columns are ignored.
+repeated doc_ids are neighbours in the order of their contents; rows without a
+doc_id come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, shared_path, staged, table
-from wirespark.llm.packing import tokens_of
+from wirespark.llm.common import NO_ID, doc_texts, release, shared_path, staged, table
+from wirespark.llm.packing import WordTokens, tokens_of
 from wirespark.llm.storage import open_file, write_file
 
 LIMIT = 18
 BLOCK = 1024
 MAGIC = b"HUFT"
+#: Ids after which a section of a file is closed.
+SECTION = 1 << 20
+INDEX = np.dtype([("doc_id", "<i8"), ("n", "<u8")])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -114,20 +118,39 @@ def unpack_bits(data: np.ndarray, offsets: np.ndarray, n: int, lookup: np.ndarra
     return out.reshape(-1)[:n]
 
 
-def file_parts(doc_ids: list[int], ids: list[np.ndarray], lengths: np.ndarray) -> Iterator[bytes]:
+def file_head(lengths: np.ndarray) -> bytes:
+    return MAGIC + struct.pack("<II", 1, len(lengths)) + lengths.astype(np.uint8).tobytes()
+
+
+def section(doc_ids: list[int], ids: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> Iterator[bytes]:
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    data, offsets = pack_bits(flat, canonical(lengths), lengths)
-    yield MAGIC + struct.pack("<II", 1, len(lengths)) + lengths.astype(np.uint8).tobytes()
-    yield struct.pack("<QQQ", len(doc_ids), len(offsets), len(flat))
-    index = np.zeros(len(doc_ids), np.dtype([("doc_id", "<i8"), ("n", "<u8")]))
+    data, offsets = pack_bits(flat, codes, lengths)
+    index = np.zeros(len(doc_ids), INDEX)
     index["doc_id"], index["n"] = doc_ids, [len(x) for x in ids]
+    yield struct.pack("<QQQQ", len(doc_ids), len(offsets), len(flat), len(data) + 8)
     yield index.tobytes()
     yield offsets.astype("<u8").tobytes()
     yield data.tobytes() + bytes(8)
 
 
+def file_parts(documents: Iterable[tuple[int, np.ndarray]], lengths: np.ndarray) -> Iterator[bytes]:
+    """A file of documents (doc_id, ids), a section at a time."""
+    codes = canonical(lengths)
+    yield file_head(lengths)
+    doc_ids, ids, size = [], [], 0
+    for doc_id, x in documents:
+        doc_ids.append(doc_id)
+        ids.append(x)
+        size += len(x)
+        if size >= SECTION:
+            yield from section(doc_ids, ids, lengths, codes)
+            doc_ids, ids, size = [], [], 0
+    if doc_ids:
+        yield from section(doc_ids, ids, lengths, codes)
+
+
 class TokenFile:
-    """A file of this format; documents are decoded in groups of blocks, so memory is bounded by the group."""
+    """A file of this format; a section's index is held at a time, and its documents are decoded in groups of blocks."""
 
     def __init__(self, path: str):
         self.file = open_file(path)
@@ -135,35 +158,46 @@ class TokenFile:
         if magic != MAGIC or version != 1:
             raise ValueError(f"{path} is not a token file")
         self.lookup, self.width = decode_table(np.frombuffer(self.file.read(symbols), np.uint8))
-        docs, blocks, self.n = struct.unpack("<QQQ", self.file.read(24))
-        self.index = np.frombuffer(self.file.read(16 * docs), np.dtype([("doc_id", "<i8"), ("n", "<u8")]))
+
+    def _section(self) -> bool:
+        head = self.file.read(32)
+        if len(head) < 32:
+            return False
+        docs, blocks, self.n, self.size = struct.unpack("<QQQQ", head)
+        self.index = np.frombuffer(self.file.read(16 * docs), INDEX)
         self.offsets = np.frombuffer(self.file.read(8 * blocks), "<u8").astype(np.int64)
-        self.bits_at = 12 + symbols + 24 + 16 * docs + 8 * blocks
+        self.bits_at = self.file.tell()
+        return True
 
     def blocks(self, first: int, most: int) -> np.ndarray:
-        """The ids of blocks first, first + 1, ... (at most so many)."""
+        """The ids of blocks first, first + 1, ... of this section (at most so many)."""
         offsets = self.offsets[first : first + most]
-        self.file.seek(self.bits_at + int(offsets[0] >> 3))
-        size = int(self.offsets[first + most] >> 3) - int(offsets[0] >> 3) + 8 if first + most < len(self.offsets) else -1
-        data = np.frombuffer(self.file.read(size) if size >= 0 else self.file.read(), np.uint8)
+        begin = int(offsets[0] >> 3)
+        end = int(self.offsets[first + most] >> 3) + 8 if first + most < len(self.offsets) else self.size
+        self.file.seek(self.bits_at + begin)
+        data = np.frombuffer(self.file.read(end - begin), np.uint8)
         n = min(self.n, (first + len(offsets)) * BLOCK) - first * BLOCK
         return unpack_bits(data, offsets - (offsets[0] & ~7), n, self.lookup, self.width)
 
-    def documents(self, group: int = 4096) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self, group: int = 1024) -> Iterator[tuple[int, int, np.ndarray]]:
         """(doc_id, ids before it in this file, ids) in order."""
-        held, held_at, at, block = np.zeros(0, np.uint32), 0, 0, 0
-        for doc_id, n in self.index.tolist():
-            parts = [held]
-            have = held_at + len(held)
-            while have < at + n:
-                parts.append(self.blocks(block, group))
-                block += group
-                have += len(parts[-1])
-            if len(parts) > 1:
-                held = np.concatenate([parts[0][at - held_at :], *parts[1:]])
-                held_at = at
-            yield doc_id, at, held[at - held_at : at - held_at + n]
-            at += n
+        before = 0
+        while self._section():
+            held, held_at, at, block = np.zeros(0, np.uint32), 0, 0, 0
+            for doc_id, n in self.index.tolist():
+                parts = [held]
+                have = held_at + len(held)
+                while have < at + n:
+                    parts.append(self.blocks(block, group))
+                    block += group
+                    have += len(parts[-1])
+                if len(parts) > 1:
+                    held = np.concatenate([parts[0][at - held_at :], *parts[1:]])
+                    held_at = at
+                yield doc_id, before + at, held[at - held_at : at - held_at + n]
+                at += n
+            before += self.n
+            self.file.seek(self.bits_at + self.size)
 
     def close(self) -> None:
         self.file.close()
@@ -188,8 +222,9 @@ def global_counts(encoded: DataFrame, wide: np.dtype, symbols: int) -> np.ndarra
     def run(batches):
         total = np.zeros(symbols, np.int64)
         for batch in batches:
-            for code in batch.column("ids"):
-                total += np.bincount(np.frombuffer(code.as_buffer(), wide), minlength=symbols)[:symbols]
+            for at in range(0, batch.num_rows, 512):
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(at, 512).to_pylist()), wide)
+                total += np.bincount(ids, minlength=symbols)[:symbols]
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -200,32 +235,28 @@ def global_counts(encoded: DataFrame, wide: np.dtype, symbols: int) -> np.ndarra
 
 
 def write_files(encoded: DataFrame, folder: str, wide: np.dtype, lengths: np.ndarray, files: int) -> DataFrame:
-    """Range-partition by doc_id and write one file for each partition (more, if a partition is long). Gives path, first doc_id, order and ids of each file."""
+    """Range-partition by doc_id and write one file for each partition. Gives path, part, n (ids) and bytes of each file."""
 
     def run(batches):
-        import pyspark
+        from pyspark import TaskContext
 
-        part, k, doc_ids, ids, size, done = pyspark.TaskContext.get().partitionId(), 0, [], [], 0, []
+        release()
+        total = 0
 
-        def close():
-            path = f"{folder}/part-{part:06d}-{k:04d}.huft"
-            write_file(path, file_parts(doc_ids, ids, lengths))
-            done.append((path, part, k, sum(map(len, ids))))
+        def documents():
+            nonlocal total
+            for batch in batches:
+                for doc_id, code in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                    ids = np.frombuffer(code.as_buffer(), wide).copy()
+                    total += len(ids)
+                    yield NO_ID if doc_id is None else doc_id, ids
 
-        for batch in batches:
-            for doc_id, code in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                doc_ids.append(doc_id)
-                ids.append(np.frombuffer(code.as_buffer(), wide).copy())
-                size += len(ids[-1])
-                if size >= 1 << 22:
-                    close()
-                    k, doc_ids, ids, size = k + 1, [], [], 0
-        if doc_ids:
-            close()
-        columns = list(zip(*done)) or [()] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["path", "part", "k", "n"])
+        part = TaskContext.get().partitionId()
+        path = f"{folder}/part-{part:06d}.huft"
+        size = write_file(path, file_parts(documents(), lengths))
+        yield pa.record_batch([pa.array([path]), pa.array([part], pa.int64()), pa.array([total], pa.int64()), pa.array([size], pa.int64())], ["path", "part", "n", "bytes"])
 
-    return encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, "path string, part long, k long, n long")
+    return encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, "path string, part long, n long, bytes long")
 
 
 def read_files(listed: DataFrame) -> DataFrame:
@@ -233,10 +264,12 @@ def read_files(listed: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            release()
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 file = TokenFile(path)
                 rows = [(doc_id, before + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc_id, at, ids in file.documents()]
                 file.close()
+                rows = [(None if r[0] == NO_ID else r[0], *r[1:]) for r in rows]
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -246,13 +279,13 @@ def read_files(listed: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, path: str, folder: str, files: int) -> DataFrame:
     """Encode, count, write; gives the list of files (path, before: ids in all files before it), one row a file."""
     spark = docs.sparkSession
-    codec = tokens_of(path, True)
+    codec = WordTokens(path, True)  # for its size; the driver keeps no memo
     encoded = staged(encode_table(docs, path), "ids")
     lengths = code_lengths(global_counts(encoded, codec.wide, codec.size))
     written = staged(write_files(encoded, folder, codec.wide, lengths, files), "files")
-    rows = sorted((r.part, r.k, r.path, r.n) for r in written.collect())  # one row for each file of about 4 million ids
+    rows = sorted((r.part, r.path, r.n) for r in written.collect())  # one row for each file
     before, out = 0, []
-    for _, _, name, n in rows:
+    for _, name, n in rows:
         out.append((name, before))
         before += n
     return spark.createDataFrame(out, "path string, before long").repartition(max(1, len(out)))

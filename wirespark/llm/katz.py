@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import NO_ID, doc_texts, fold, shared_path, staged, table
+from wirespark.llm.common import NO_ID, doc_texts, fold, release, shared_path, staged, table
 from wirespark.llm.storage import filesystem, open_file
 
 BLOCK = 1 << 21
@@ -142,6 +142,7 @@ def tokenised(docs: DataFrame, held_out: Column, folder: str, parts: int, block:
     def run(batches):
         from pyspark import TaskContext
 
+        release()
         task = TaskContext.get().partitionId()
         path = f"{folder}/{uuid.uuid4().hex}.tokens"  # an attempt's own file; equal attempts write equal blocks
         fs, name = filesystem(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, fold, slabs, staged, table
+from wirespark.llm.common import doc_texts, fold, release, slabs, staged, table
 
 MOST = 1500
 GRAM = 3
@@ -231,6 +231,7 @@ def labelled(rows: DataFrame, model: LanguageModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def run(batches):
+        release()
         gc.disable()
         labeller = Labeller(shared.value)
         for batch in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, shared_path, staged, table
+from wirespark.llm.common import doc_texts, release, shared_path, staged, table
 from wirespark.llm.graph import components
 from wirespark.llm.katz import pack, small, unpack
 from wirespark.llm.storage import filesystem, open_file
@@ -99,6 +99,7 @@ def signatures(docs: DataFrame, size: int, folder: str) -> DataFrame:
     """row, doc_id, text_hash, n_shingles, digest, and file, at: where signature and full set are, one after the other."""
 
     def run(batches):
+        release()
         file = uuid.uuid4().hex  # an attempt's own file: rows of the attempt that counts name it
         fs, name = filesystem(f"{folder}/{file}.sets")
         fs.create_dir(name.rpartition("/")[0], recursive=True)

@@ -12,7 +12,6 @@ ties go to the earlier piece; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirespark.llm.chunks import LONGEST_KEPT, ChunkEncoder
-from wirespark.llm.common import doc_texts, staged, table
+from wirespark.llm.common import doc_texts, held, staged, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -51,7 +50,8 @@ class WordTokens:
         self.codes = [k.to_bytes(self.wide.itemsize, "little") for k in range(self.size)]
         self.spaced, self.symbols, self.tails = spaced, byte_symbols(), {"": b""}
         self.words: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self._encode_many, spaced, 800_000)
+        self.most_words = 300_000 if spaced else 500_000
+        self.chunks = ChunkEncoder(self._encode_many, spaced, 600_000 if spaced else 800_000)
 
     def _word(self, word: str, tokenize) -> bytes:
         if word.isascii():
@@ -78,7 +78,7 @@ class WordTokens:
             code = words.get(word)
             if code is None:
                 code = self._word(word, tokenize)
-                if len(words) < 900_000:
+                if len(words) < self.most_words:
                     words[word] = code
             if tail not in tails:
                 tails[tail] = self._whole(tail)
@@ -90,20 +90,9 @@ class WordTokens:
             yield np.frombuffer(code, self.wide)
 
 
-_made: dict[tuple[str, bool], WordTokens] = {}
-
-
 def tokens_of(path: str, spaced: bool) -> WordTokens:
     """spaced: whether the tokenizer's tokens hold the space before them."""
-    if (path, spaced) not in _made:
-        gc.disable()  # the memo holds millions of small objects and no cycles; walking them is wasted time
-        _made[path, spaced] = WordTokens(path, spaced)
-    return _made[path, spaced]
-
-
-def release() -> None:
-    """Give up the memos, in steps of a job that don't tokenise."""
-    _made.clear()
+    return held(("words", path, spaced), lambda: WordTokens(path, spaced))
 
 
 def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFrame:
