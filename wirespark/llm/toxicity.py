@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirespark.llm.common import doc_texts, fold, slabs, staged, table
+from wirespark.llm.common import doc_texts, fold, release, slabs, staged, table
 
-ORDER = 5
+ORDER = 7
+#: Taken off a gram that its class has seen once, twice, three times, oftener. What was seen once is left to the shared model.
+DISCOUNTS = (1.0, 1.6, 2.0, 2.4)
 MOST = 4000
 RATE = 0.02
 THRESHOLD = 0.3
@@ -55,20 +57,18 @@ class ToxicModel:
                     if by_class[c]:
                         top[c][gram] += by_class[c]
         shared = SharedBackoff(top[0].keys() | top[1].keys(), order - 1)
-        total, types = [Counter(), Counter()], [Counter(), Counter()]
-        discount = [0.0, 0.0]
+        total, taken = [Counter(), Counter()], [Counter(), Counter()]
+        off = lambda n: DISCOUNTS[min(n, len(DISCOUNTS)) - 1]
         for c in (0, 1):
-            ones, twos = sum(n == 1 for n in top[c].values()), sum(n == 2 for n in top[c].values())
-            discount[c] = min(0.95, ones / (ones + 2 * twos)) if ones else 0.5
             for gram, n in top[c].items():
                 total[c][gram[:-1]] += n
-                types[c][gram[:-1]] += 1
-        rest = [{h: discount[c] * types[c][h] / n for h, n in total[c].items()} for c in (0, 1)]
+                taken[c][gram[:-1]] += off(n)
+        rest = [{h: taken[c][h] / n for h, n in total[c].items()} for c in (0, 1)]
         contexts = {h: np.log(rest[1].get(h, 1.0) / rest[0].get(h, 1.0)) for h in total[0].keys() | total[1].keys()}
         grams = {}
         for gram in top[0].keys() | top[1].keys():
             h, below = gram[:-1], shared.probability(gram[1:])
-            p = [max(top[c][gram] - discount[c], 0.0) / total[c][h] + rest[c][h] * below if h in total[c] else below for c in (0, 1)]
+            p = [(top[c][gram] - off(top[c][gram]) if top[c][gram] else 0.0) / total[c][h] + rest[c][h] * below if h in total[c] else below for c in (0, 1)]
             grams[gram] = np.log(p[1] / p[0])
         self.grams, self.contexts = self._sorted(grams), self._sorted(contexts)
         self.weights = np.zeros(4)
@@ -202,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST
     chosen = staged(doc_texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]), "toxicity-sample").withColumn("fit", fold("doc_id", 5) != 0)
 
     def count(batches):
+        release()
         for batch in batches:
             by: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -245,6 +246,7 @@ def scored(rows: DataFrame, model: ToxicModel, column: str) -> DataFrame:
     at = rows.columns.index("text")
 
     def run(batches):
+        release()
         gc.disable()
         scorer = Scorer(shared.value)
         for batch in batches:
