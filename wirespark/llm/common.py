@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -60,7 +62,10 @@ def held(key, make):
 
 def release() -> None:
     """Workers serve many steps: those that don't use the memo of another give it up."""
-    _held.clear()
+    if _held:
+        _held.clear()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only: give freed memory back to the system
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def slabs(texts: Iterable[str], most: int = 1 << 20) -> Iterable[list[str]]:

@@ -50,8 +50,8 @@ class WordTokens:
         self.codes = [k.to_bytes(self.wide.itemsize, "little") for k in range(self.size)]
         self.spaced, self.symbols, self.tails = spaced, byte_symbols(), {"": b""}
         self.words: dict[str, bytes] = {}
-        self.most_words = 300_000
-        self.chunks = ChunkEncoder(self._encode_many, spaced, 600_000)
+        self.most_words = 200_000
+        self.chunks = ChunkEncoder(self._encode_many, spaced, 450_000)
 
     def _word(self, word: str, tokenize) -> bytes:
         if word.isascii():

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from wirespark.llm.common import doc_texts, fold, release, slabs, staged, table
 
-ORDER = 7
+ORDER = 5
 #: Taken off a gram that its class has seen once, twice, three times, oftener. What was seen once is left to the shared model.
 DISCOUNTS = (1.0, 1.6, 2.0, 2.4)
 MOST = 4000
@@ -143,7 +143,7 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
 class Scorer:
     """Features of texts; words' ratios in a bounded memo."""
 
-    def __init__(self, model: ToxicModel, most: int = 500_000):
+    def __init__(self, model: ToxicModel, most: int = 200_000):
         self.model, self.most = model, most
         self.memo: dict[str, float] = {}
 
