@@ -531,6 +531,11 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(content.pattern_offsets(t.cast("binary"), "th")).cast("long").alias("hits"))
 
 
+@query("flt_hexsearch_whole")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", F.size(content.pattern_offsets(F.col("text").cast("binary"), "th")).cast("long").alias("hits"))
+
+
 @query("crv_sig_lookup", "SELECT 'executable' AS category, 7 AS signatures, 7 AS dangerous UNION ALL SELECT 'media', 10, 0 UNION ALL SELECT 'image', 8, 0 UNION ALL SELECT 'document', 6, 0 UNION ALL SELECT 'archive', 7, 0 UNION ALL SELECT 'database', 1, 0 UNION ALL SELECT 'certificate', 1, 0")
 def _(spark, d):
     s = content.signatures(spark)
