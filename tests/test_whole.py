@@ -18,3 +18,10 @@ def test_hexsearch_finds_hits_after_a_prefix(spark, documents):
     rows = [(0, "x" * 5000 + "Th" + "é" * 300 + "tHth"), (1, "th" * 400), (2, ""), (3, "no hit " * 100)]
     got = plans.queries()["flt_hexsearch_whole"](spark, documents(rows)).collect()
     assert {r.doc_id: r.hits for r in got} == {i: sum(t[k : k + 2].lower() == "th" for k in range(len(t))) for i, t in rows}
+
+
+def test_smb_content_is_classified_by_all_of_it(spark, documents):
+    words = ["powershell", "cmd.exe", "wscript", "cscript", "invoke-expression", "downloadstring", "net user", "net localgroup", "mimikatz", "sekurlsa"]
+    rows = [(4 * k + 3, "plain text " * 500 + w.upper() + " more") for k, w in enumerate(words)] + [(103, "plain text " * 500)]
+    got = {r.doc_id: r.kind for r in plans.queries()["smb_content"](spark, documents(rows)).collect()}
+    assert got == {4 * k + 3: f"Suspicious content: {w}" for k, w in enumerate(words)} | {103: None}

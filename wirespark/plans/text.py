@@ -515,7 +515,7 @@ def _(spark, d):
 @query("smb_content", """SELECT doc_id, CASE WHEN starts_with(text, 'MZ') THEN 'Executable file' WHEN contains(lower(text), 'powershell') THEN 'Suspicious content: powershell' WHEN contains(lower(text), 'cmd.exe') THEN 'Suspicious content: cmd.exe' END AS kind
     FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'MZ' WHEN 1 THEN 'x PowerShell -enc ' WHEN 2 THEN 'run CMD.exe ' ELSE '' END, left(text, 100)) AS text FROM documents)""")
 def _(spark, d):
-    t = F.concat(F.expr("CASE doc_id % 4 WHEN 0 THEN 'MZ' WHEN 1 THEN 'x PowerShell -enc ' WHEN 2 THEN 'run CMD.exe ' ELSE '' END"), F.left("text", F.lit(100)))
+    t = F.concat(F.expr("CASE doc_id % 4 WHEN 0 THEN 'MZ' WHEN 1 THEN 'x PowerShell -enc ' WHEN 2 THEN 'run CMD.exe ' ELSE '' END"), "text")
     return docs(spark, d).select("doc_id", content.suspicious_content(t, F.lit("a.txt")).alias("kind"))
 
 
