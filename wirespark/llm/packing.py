@@ -2,9 +2,9 @@
 
 Documents are tokenised, ended by one id and, where longer than a sequence, cut into full pieces. Pieces shorter than
 a sequence are dealt to shards of bounded size; each shard is packed by best fit decreasing, then improved: documents
-are moved, exchanged one for one or two for one between the fullest and the emptiest of the underfull bins whenever
-that raises the sum of squared fills, until bins empty. What is left in underfull bins of all shards meets once more,
-in shards of the same bound, so that the number of shards costs few sequences.
+are moved, exchanged one for one or two for one between any two underfull bins whenever that raises the sum of squared
+fills, until no such step is left or the lower bound is met. What is left in underfull bins of all shards meets once
+more, in shards of the same bound, so that the number of shards costs few sequences.
 
 Defined results: null text is the empty text, a document of one id; repeated rows are packed as often as they occur;
 ties go to the earlier piece; an empty table gives an empty result; other columns are ignored.
@@ -163,83 +163,93 @@ class Bins:
         return False
 
 
-def pack(lengths: list[int], most: int, rounds: int = 4, tries: int = 60) -> list[list[int]]:
-    """Bins of item numbers. tries bounds the partners that one bin is compared with, so that work is linear in items."""
+def pack(lengths: list[int], most: int) -> list[list[int]]:
+    """Bins of item numbers: best fit decreasing, improved until no exchange is left or the lower bound is met."""
     bins = Bins(most)
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         bins.place(item, lengths[item])
-    for _ in range(rounds):
-        before = sum(1 for x in bins.items if x)
-        if before <= -(-sum(lengths) // most) or not _improve(bins, lengths, tries):
-            break
-    return [x for x in bins.items if x]
-
-
-def _improve(bins: Bins, lengths: list[int], tries: int) -> bool:
-    """One round over the underfull bins, the emptiest first: they give what fuller bins can hold. Each step raises the squared fill."""
-    slack = sorted((b for b, x in enumerate(bins.items) if x and bins.room[b]), key=lambda b: (-bins.room[b], b))
-    changed = False
-    for giver in slack:
-        if not bins.items[giver] or not bins.room[giver]:
-            continue
-        for item in sorted(bins.items[giver], key=lambda i: (-lengths[i], i)):  # move
-            changed |= _moved(bins, giver, item, lengths)
-        fuller = [b for b in slack[-tries:][::-1] if b != giver and bins.items[b] and 0 < bins.room[b] <= bins.room[giver]]
-        for taker in fuller:
-            if not bins.items[giver]:
-                break
-            changed |= _exchange(bins, giver, taker, lengths)
-    return changed
-
-
-def _moved(bins: Bins, giver: int, item: int, lengths: list[int]) -> bool:
-    """Move item to the fullest other bin that has room, if that bin is at least as full as the giver without the item."""
-    length, rooms = lengths[item], bins.mask >> lengths[item]
-    while rooms:
-        low = rooms & -rooms
-        room = length + low.bit_length() - 1
-        if room >= bins.room[giver] + length:
+    items, bound = [x for x in bins.items if x], -(-sum(lengths) // most)
+    if len(items) > bound:
+        search = Exchanges(items, lengths, most)
+        search.run(bound)
+        items = [x for x in search.items if x]
+    return items
+
+
+class Exchanges:
+    """Local search over all underfull bins. Each holds a slot for each item and one of length 0, so that a move is an exchange for nothing."""
+
+    def __init__(self, items: list[list[int]], lengths: list[int], most: int):
+        self.items, self.lengths, self.most = items, lengths, most
+        self.room = np.array([most - sum(lengths[i] for i in x) for x in items])
+        self.left = len(items)
+        self._index()
+
+    def _index(self) -> None:
+        """Slots of the bins that are underfull now; others have nothing to gain."""
+        bins = [b for b, x in enumerate(self.items) if x and self.room[b]]
+        pairs = [(b, i) for b in bins for i in (-1, *self.items[b])]
+        self.bin = np.array([b for b, _ in pairs], np.int64)
+        self.item = np.array([i for _, i in pairs], np.int64)
+        self.length = np.array([0 if i < 0 else self.lengths[i] for _, i in pairs], np.int64)
+        self.free = self.room[self.bin] if pairs else np.zeros(0, np.int64)
+        self.slots: dict[int, list[int]] = {}
+        for k, (b, _) in enumerate(pairs):
+            self.slots.setdefault(b, []).append(k)
+
+    def run(self, bound: int) -> None:
+        """The emptiest bins give first, until a whole round changes nothing."""
+        changed = True
+        while changed and self.left > bound:
+            changed = False
+            self._index()
+            for giver in sorted(self.slots, key=lambda b: (-self.room[b], b)):
+                while self.left > bound and self.items[giver] and self.room[giver] and self._exchange(giver):
+                    changed = True
+
+    def _exchange(self, giver: int) -> bool:
+        """One or two items of the giver for one shorter item, or none, of a bin at least as full: of all such bins the one
+        that is left with the least room. The squared fill rises with each, so this ends."""
+        own: dict[int, list[int]] = {}
+        for i in self.items[giver]:
+            own.setdefault(self.lengths[i], []).append(i)
+        sizes = np.array(sorted(own))
+        twice = np.array([x for x in own if len(own[x]) > 1], np.int64)
+        both = np.zeros(self.most + 1, np.int64)  # lengths that one or two items make
+        both[sizes] = sizes
+        sums = np.append((sizes[:, None] + sizes[None])[np.triu_indices(len(sizes), 1)], 2 * twice)
+        sums = sums[sums <= self.most]
+        both[sums] = sums
+        floor = np.maximum.accumulate(both)
+        gain = floor[self.length + self.free] - self.length
+        rest = np.where((gain > 0) & (self.free <= self.room[giver]) & (self.bin != giver), self.free - gain, self.most)
+        k = int(rest.argmin()) if len(rest) else 0
+        if not len(rest) or rest[k] == self.most:
             return False
-        taker = next((b for b in bins.by_room[room] if b != giver), None)
-        if taker is not None:
-            bins.change(giver, [(item, length)], [])
-            bins.change(taker, [], [(item, length)])
-            return True
-        rooms ^= low
-    return False
-
-
-def _exchange(bins: Bins, giver: int, taker: int, lengths: list[int]) -> bool:
-    """One or two items of the giver for one shorter item of the taker, filling the taker's room as far as can be."""
-    room = bins.room[taker]
-    own = {}
-    for i in bins.items[giver]:
-        own.setdefault(lengths[i], i)
-    best = (0, None, None)
-    sizes = sorted(own)
-    for out in bins.items[taker]:
-        aim = lengths[out] + room  # what comes in may be this long
-        one = max((x for x in sizes if lengths[out] < x <= aim), default=0)
-        if one - lengths[out] > best[0] and one:
-            best = (one - lengths[out], out, [own[one]])
-        for k, x in enumerate(sizes):
-            if 2 * x > aim or best[0] == room:
-                break
-            y = max((y for y in sizes[k + 1 :] if x + y <= aim), default=0)
-            if y and x + y - lengths[out] > best[0]:
-                best = (x + y - lengths[out], out, [own[x], own[y]])
-    gain, out, into = best
-    if not gain:
-        return False
-    coming = [(i, lengths[i]) for i in into]
-    bins.change(taker, [(out, lengths[out])], [])
-    bins.change(giver, coming, [(out, lengths[out])])
-    bins.change(taker, [], coming) if bins.items[taker] else _refill(bins, taker, coming)
-    return True
-
-
-def _refill(bins: Bins, b: int, into: list[tuple[int, int]]) -> None:
-    bins.change(b, [], into)
+        taker, out, total = int(self.bin[k]), int(self.item[k]), int(self.length[k] + gain[k])
+        into = own[total][:1] if total in own else next([own[x][0], own[total - x][-1]] for x in own if total - x in own and (total != 2 * x or len(own[x]) > 1))
+        for b, less, more in ((giver, into, [out]), (taker, [out], into)):
+            keep = [i for i in self.items[b] if i not in less]
+            self.items[b] = keep + [i for i in more if i >= 0]
+            self.room[b] = self.most - sum(self.lengths[i] for i in self.items[b])
+            self._refresh(b)
+        self.left -= not self.items[giver]
+        return True
+
+    def _refresh(self, b: int) -> None:
+        """The slots of a changed bin; those that it no longer needs count as full, and more are appended in _index."""
+        old = self.slots[b]
+        new = [-1, *self.items[b]] if self.items[b] and self.room[b] else []
+        if len(new) > len(old):
+            more = range(len(self.bin), len(self.bin) + len(new) - len(old))
+            for name in ("bin", "item", "length", "free"):
+                setattr(self, name, np.append(getattr(self, name), np.zeros(len(more), np.int64)))
+            old += more
+        for k, i in zip(old, new):
+            self.bin[k], self.item[k], self.length[k], self.free[k] = b, i, 0 if i < 0 else self.lengths[i], self.room[b]
+        for k in old[len(new) :]:
+            self.length[k] = self.free[k] = 0  # nothing fits in
+            self.bin[k] = b
 
 
 def packed(pieces: DataFrame, most: int = 2048, shard_rows: int = 20_000, keep_bins: bool = True) -> DataFrame:
