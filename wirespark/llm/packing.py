@@ -12,6 +12,7 @@ ties go to the earlier piece; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,15 +39,23 @@ class WordTokens:
 
     Chunks of Latin letters, perhaps with a mark after them, are one word to either pre-tokenizer; they go straight to
     the library's model. All others pass its whole chain.
+
+    added: whether the file's added tokens (<|endoftext|>) are found in texts, as the library does by default; texts are
+    cut there, and what is between them is encoded as texts of their own. Otherwise they are ordinary characters.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.wide = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        found = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in found.values()):
+            raise ValueError("added tokens that are not plain literals")
+        self.added = {x.content: np.array([k], self.wide).tobytes() for k, x in found.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.codes = [k.to_bytes(self.wide.itemsize, "little") for k in range(self.size)]
         self.spaced, self.symbols, self.tails = spaced, byte_symbols(), {"": b""}
         self.words: dict[str, bytes] = {}
@@ -86,13 +95,18 @@ class WordTokens:
         return out
 
     def encode(self, texts) -> Iterator[np.ndarray]:
-        for code in self.chunks.encode(texts):
+        cut = [self.split(x) if any(a in x for a in self.added) else [x] for x in texts]
+        codes = self.chunks.encode(x for parts in cut for x in parts[::2])
+        for parts in cut:
+            code = next(codes)
+            for a in parts[1::2]:
+                code += self.added[a] + next(codes)
             yield np.frombuffer(code, self.wide)
 
 
 def tokens_of(path: str, spaced: bool) -> WordTokens:
     """spaced: whether the tokenizer's tokens hold the space before them."""
-    return held(("words", path, spaced), lambda: WordTokens(path, spaced))
+    return held(("words", path, spaced), lambda: WordTokens(path, spaced, added=True))
 
 
 def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFrame:
