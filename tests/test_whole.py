@@ -3,6 +3,7 @@
 import pytest
 
 from wirespark import plans
+from wirespark.operators import anomaly
 
 
 @pytest.fixture
@@ -25,3 +26,30 @@ def test_smb_content_is_classified_by_all_of_it(spark, documents):
     rows = [(4 * k + 3, "plain text " * 500 + w.upper() + " more") for k, w in enumerate(words)] + [(103, "plain text " * 500)]
     got = {r.doc_id: r.kind for r in plans.queries()["smb_content"](spark, documents(rows)).collect()}
     assert got == {4 * k + 3: f"Suspicious content: {w}" for k, w in enumerate(words)} | {103: None}
+
+
+@pytest.fixture
+def embeddings(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(4500, 8))
+    x[10:40] = x[0]  # copies
+    x = x.astype("float32").astype(float)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path), x
+
+
+@pytest.mark.parametrize("name,k", [("cls_lof", 20), ("jn_lof_knn", 5)])
+def test_lof_searches_all_rows(spark, embeddings, name, k):
+    import numpy as np
+
+    d, x = embeddings
+    want = anomaly.LocalOutlierFactor(x, k).score(x)
+    got = {r.vec_id: r.score for r in plans.queries()[name](spark, d).collect()}
+    single = [i for i in range(len(x)) if not 0 <= i < 40]  # which copy is whose neighbour is not defined
+    assert len(got) == len(x) and np.allclose([got[i] for i in single], want[single], atol=2e-6)
+
+
+def test_forest_threshold_is_of_all_rows(spark):
+    rows = spark.range(10_000).selectExpr("id * 1.0D / 10000 score")
+    assert anomaly.contamination_limit(rows, "score") == 0.9

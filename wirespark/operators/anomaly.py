@@ -1,15 +1,19 @@
 """Isolation forest, local outlier factor, and the two joined with z-scores.
 
-Models are fitted on a bounded sample (a parameter) and applied to all rows by Arrow batches.
+Forests are fitted on a bounded sample (a parameter) and applied to all rows by Arrow batches; the factor of all rows
+against all rows (lof_scores) and the forest's threshold (contamination_limit) leave none out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirespark.sources.files import scratch
+
 TREES, SAMPLE, DEPTH, CONTAMINATION, NEIGHBOURS = 100, 256, 8, 0.1, 20
 WEIGHTS = {"z": 0.4, "forest": 0.35, "lof": 0.25}
 
@@ -108,6 +112,91 @@ def scored(rows: DataFrame, features: list[str], model, name: str) -> DataFrame:
     return rows.withColumn(name, run(*(F.col(f).cast("double") for f in features)))
 
 
+def contamination_limit(rows: DataFrame, score: str, contamination: float = CONTAMINATION) -> float:
+    """The score that the given share of all rows exceeds, as IsolationForest has it for the rows it was fitted on."""
+    n = rows.count()
+    at = min(n - 1, int(n * (1 - contamination)))
+    return float(rows.select(score).orderBy(score).rdd.zipWithIndex().filter(lambda x: x[1] == at).first()[0][0])
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
+    """Rows of q, rows of x and distances of the k nearest to each of q among x but itself; ties go to the earlier of x."""
+    k = min(k, len(x))
+    for start in range(0, len(q), 256):
+        part = q[start : start + 256]
+        d = np.zeros((len(part), len(x)))
+        for f in range(x.shape[1]):
+            d += (part[:, f, None] - x[None, :, f]) ** 2
+        d[q_ids[start : start + 256, None] == x_ids[None]] = np.inf
+        near = np.argpartition(d, k - 1, 1)[:, :k]
+        limit = np.take_along_axis(d, near, 1).max(1)
+        tied = np.flatnonzero((d <= limit[:, None]).sum(1) > k)
+        near[tied] = np.argsort(d[tied], 1, kind="stable")[:, :k]
+        found = np.take_along_axis(d, near, 1).ravel()
+        keep = np.isfinite(found)
+        yield (np.repeat(np.arange(len(part)), k) + start)[keep], near.ravel()[keep], np.sqrt(found[keep])
+
+
+def neighbours(rows: DataFrame, features: list[str], key: str, k: int, block_rows: int = 4096) -> DataFrame:
+    """id, other, distance, rank: the k nearest of all other rows. Blocks of bounded size meet in pairs, and the best of
+    each pair are merged, so no task holds all rows. key is unique; rows with a feature that is null or not finite take no part."""
+    far = float("inf")
+    sound = rows.select(F.col(key).cast("long").alias("id"), *(F.col(f).cast("double") for f in features)).filter(" AND ".join(f"abs({f}) < double('{far}') AND NOT isnan({f})" for f in features))
+    n = sound.count()
+    if n <= k:
+        raise ValueError("more rows than neighbours are needed")
+    shards, width = -(-n // block_rows), len(features)
+
+    def packed(group_key, group):
+        group = group.sort_by("id")
+        data = np.stack([group.column(f).to_numpy() for f in features], 1)
+        return pa.table({"shard": pa.array([group_key[0].as_py()], pa.int64()), "ids": [group.column("id").to_numpy().tobytes()], "data": [data.tobytes()]})
+
+    blocks = _staged(sound.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInArrow(packed, "shard long, ids binary, data binary"), "blocks")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q_ids, x_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, x = np.frombuffer(r["q_data"]).reshape(-1, width), np.frombuffer(r["data"]).reshape(-1, width)
+                for a, b, d in _nearest(q, q_ids, x, x_ids, k):
+                    yield pa.record_batch([pa.array(q_ids[a]), pa.array(x_ids[b]), pa.array(d)], ["id", "other", "distance"])
+
+    queries = blocks.select(F.col("shard").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    pairs = queries.join(blocks, "shard").repartition(min(shards * shards, 10_000), "q", "shard")
+    found = pairs.select("q_ids", "q_data", "ids", "data").mapInArrow(run, "id long, other long, distance double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def lof_scores(rows: DataFrame, features: list[str], key: str, name: str, k: int = NEIGHBOURS, block_rows: int = 4096) -> DataFrame:
+    """rows with LocalOutlierFactor(all rows).score of each, null where a feature is null or not finite.
+
+    As in the model, densities are of the k nearest others, and a row that is scored is its own first neighbour.
+    """
+    near = _staged(neighbours(rows, features, key, k, block_rows), "neighbours")
+    reach = near.filter(F.col("rank") == k).select(F.col("id").alias("other"), F.col("distance").alias("reach"))
+    far = near.join(reach, "other").withColumn("far", F.greatest("distance", "reach"))
+    own_reach = F.max(F.when(F.col("rank") == k, F.col("distance")))
+    inner = F.coalesce(F.sum(F.when(F.col("rank") < k, F.col("far"))), F.lit(0.0))
+    density = far.groupBy("id").agg(
+        (1 / F.greatest(F.avg("far"), F.lit(1e-12))).alias("density"),
+        (1 / F.greatest((inner + own_reach) / k, F.lit(1e-12))).alias("own"),
+    )
+    density = _staged(density, "densities")
+    others = near.filter(F.col("rank") < k).join(density.select(F.col("id").alias("other"), F.col("density").alias("d")), "other").groupBy("id").agg(F.sum("d").alias("d"))
+    score = density.join(others, "id", "left").select(
+        "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (((F.coalesce("d", F.lit(0.0)) + F.col("density")) / k) / F.col("own") - 1) / 2)).alias(name)
+    )
+    return rows.join(score.withColumnRenamed("id", "_id"), F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
+
+
 def ensemble(z: Column, forest: Column, lof: Column, limit: float = 3.0) -> Column:
     """struct(score, is_anomaly)."""
     score = WEIGHTS["z"] * F.least(F.lit(1.0), z / limit) + WEIGHTS["forest"] * forest + WEIGHTS["lof"] * lof

@@ -439,26 +439,25 @@ def _points(spark, d):
 def _(spark, d):
     p = _points(spark, d)
     model = anomaly.IsolationForest(anomaly.sampled(p, _DIMS, 4096, "vec_id"))
-    return anomaly.scored(p, _DIMS, model, "score").select("vec_id", F.round("score", 6).alias("score"), (F.col("score") > model.threshold).alias("is_anomaly"))
+    s = anomaly.scored(p, _DIMS, model, "score")
+    return s.select("vec_id", F.round("score", 6).alias("score"), (F.col("score") > anomaly.contamination_limit(s, "score")).alias("is_anomaly"))
 
 
 @query("cls_lof")
 def _(spark, d):
-    p = _points(spark, d)
-    return anomaly.scored(p, _DIMS, anomaly.LocalOutlierFactor(anomaly.sampled(p, _DIMS, 2000, "vec_id")), "score").select("vec_id", F.round("score", 6).alias("score"))
+    return anomaly.lof_scores(_points(spark, d), _DIMS, "vec_id", "score").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("jn_lof_knn")
 def _(spark, d):
-    p = _points(spark, d)
-    return anomaly.scored(p, _DIMS, anomaly.LocalOutlierFactor(anomaly.sampled(p, _DIMS, 2000, "vec_id"), 5), "score").select("vec_id", F.round("score", 6).alias("score"))
+    return anomaly.lof_scores(_points(spark, d), _DIMS, "vec_id", "score", 5).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("cls_ensemble")
 def _(spark, d):
     p = _points(spark, d)
     fit = anomaly.sampled(p, _DIMS, 2000, "vec_id")
-    s = anomaly.scored(anomaly.scored(p, _DIMS, anomaly.IsolationForest(fit), "forest"), _DIMS, anomaly.LocalOutlierFactor(fit), "lof")
+    s = anomaly.lof_scores(anomaly.scored(p, _DIMS, anomaly.IsolationForest(fit), "forest"), _DIMS, "vec_id", "lof")
     scale = series.fitted(p, _DIMS)
     z = series.normalized(p, _DIMS, scale).select("vec_id", F.sqrt(sum((F.col(n) * F.col(n) for n in _DIMS), F.lit(0.0)) / len(_DIMS)).alias("z"))
     return s.join(z, "vec_id").withColumn("e", anomaly.ensemble(F.col("z"), F.col("forest"), F.col("lof"))).select("vec_id", F.round("e.score", 6).alias("score"), "e.is_anomaly")
