@@ -67,11 +67,11 @@ def test_query(spark, tables):
     random.seed(4)
     texts = [" ".join(random.choices(["alpha", "béta", "gamma\n", "😀"], k=random.randint(0, 300))) for _ in range(150)] + [None, "", "x" * 9000, "same", "same"]
     rows = [(i * 7 % 155, t, 1, 2) for i, t in enumerate(texts)]
-    rows += [(None, "no id", 1, 2)]
+    rows += [(None, "no id", 1, 2), (-(1 << 63), "the smallest id", 1, 2), ((1 << 63) - 1, "a <|endoftext|> b", 1, 2)]
     tables.make("documents", rows, "doc_id long, text string, ids int, n int")
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want, at = [], 0
-    for doc_id, text, *_ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = np.array([*tokens.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)

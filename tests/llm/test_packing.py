@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wirespark.llm.packing import WordTokens, op7_best_fit_packing, pack, packed
+from wirespark.llm.packing import op7_best_fit_packing, pack, packed
+from wirespark.llm.words import WordTokens
 
 
 def fresh(name):

@@ -256,7 +256,7 @@ class ByteBpe:
         self.packed = "H" if self.wide.itemsize == 2 else "I"
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self._encode_many, most=600_000)
+        self.chunks = ChunkEncoder(self._encode_many, self.wide)
         self.decoder = TokenDecoder(self.fst.token_bytes)
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
 
@@ -275,8 +275,7 @@ class ByteBpe:
         return [piece(x) if x[1:].isalpha() and x[0] == " " else b"".join(map(piece, self.find(x))) for x in chunks]
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        for code in self.chunks.encode(texts):
-            yield np.frombuffer(code, self.wide)
+        yield from self.chunks.encode(texts)
 
 
 def byte_bpe(path: str, pattern: str) -> ByteBpe:

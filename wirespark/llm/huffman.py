@@ -6,8 +6,9 @@ bit offset of each block, so a reader can start at any of them. Blocks are decod
 each id of each block.
 
 File format (numbers little-endian): magic "HUFT", u32 version, u32 symbols, u8 code length of each symbol; then
-sections of about SECTION ids: u64 documents, u64 blocks, u64 ids, u64 bytes of the bits; per document i64 doc_id and
-u64 ids; per block u64 bit offset; the bits, first bit highest in its byte, padded by 8 zero bytes.
+sections of about SECTION ids: u64 documents, u64 blocks, u64 ids, u64 bytes of the bits; per document i64 doc_id,
+u64 ids and u8 whether it has a doc_id; per block u64 bit offset; the bits, first bit highest in its byte, padded by 8
+zero bytes.
 
 Files hold ranges of ascending doc_id, in the order of their names. Defined results: null text is the empty text, just the end id;
 repeated doc_ids are neighbours in the order of their contents; rows without a
@@ -25,16 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import NO_ID, doc_texts, release, shared_path, staged, table
-from wirespark.llm.packing import WordTokens, tokens_of
+from wirespark.llm.common import doc_texts, release, shared_path, staged, table
+from wirespark.llm.katz import pack, small, unpack
 from wirespark.llm.storage import open_file, write_file
+from wirespark.llm.words import WordTokens, tokens_of
 
 LIMIT = 18
 BLOCK = 1024
 MAGIC = b"HUFT"
 #: Ids after which a section of a file is closed.
 SECTION = 1 << 20
-INDEX = np.dtype([("doc_id", "<i8"), ("n", "<u8")])
+#: Ids of a file, about: files are as many as the ids of all documents ask for.
+FILE_IDS = 1 << 23
+INDEX = np.dtype([("doc_id", "<i8"), ("n", "<u8"), ("named", "u1")])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -122,18 +126,19 @@ def file_head(lengths: np.ndarray) -> bytes:
     return MAGIC + struct.pack("<II", 1, len(lengths)) + lengths.astype(np.uint8).tobytes()
 
 
-def section(doc_ids: list[int], ids: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> Iterator[bytes]:
+def section(doc_ids: list[int | None], ids: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> Iterator[bytes]:
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     data, offsets = pack_bits(flat, codes, lengths)
     index = np.zeros(len(doc_ids), INDEX)
-    index["doc_id"], index["n"] = doc_ids, [len(x) for x in ids]
+    index["doc_id"], index["n"] = [x or 0 for x in doc_ids], [len(x) for x in ids]
+    index["named"] = [x is not None for x in doc_ids]
     yield struct.pack("<QQQQ", len(doc_ids), len(offsets), len(flat), len(data) + 8)
     yield index.tobytes()
     yield offsets.astype("<u8").tobytes()
     yield data.tobytes() + bytes(8)
 
 
-def file_parts(documents: Iterable[tuple[int, np.ndarray]], lengths: np.ndarray) -> Iterator[bytes]:
+def file_parts(documents: Iterable[tuple[int | None, np.ndarray]], lengths: np.ndarray) -> Iterator[bytes]:
     """A file of documents (doc_id, ids), a section at a time."""
     codes = canonical(lengths)
     yield file_head(lengths)
@@ -164,7 +169,7 @@ class TokenFile:
         if len(head) < 32:
             return False
         docs, blocks, self.n, self.size = struct.unpack("<QQQQ", head)
-        self.index = np.frombuffer(self.file.read(16 * docs), INDEX)
+        self.index = np.frombuffer(self.file.read(INDEX.itemsize * docs), INDEX)
         self.offsets = np.frombuffer(self.file.read(8 * blocks), "<u8").astype(np.int64)
         self.bits_at = self.file.tell()
         return True
@@ -179,12 +184,12 @@ class TokenFile:
         n = min(self.n, (first + len(offsets)) * BLOCK) - first * BLOCK
         return unpack_bits(data, offsets - (offsets[0] & ~7), n, self.lookup, self.width)
 
-    def documents(self, group: int = 1024) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self, group: int = 1024) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids before it in this file, ids) in order."""
         before = 0
         while self._section():
             held, held_at, at, block = np.zeros(0, np.uint32), 0, 0, 0
-            for doc_id, n in self.index.tolist():
+            for doc_id, n, named in self.index.tolist():
                 parts = [held]
                 have = held_at + len(held)
                 while have < at + n:
@@ -194,7 +199,7 @@ class TokenFile:
                 if len(parts) > 1:
                     held = np.concatenate([parts[0][at - held_at :], *parts[1:]])
                     held_at = at
-                yield doc_id, before + at, held[at - held_at : at - held_at + n]
+                yield doc_id if named else None, before + at, held[at - held_at : at - held_at + n]
                 at += n
             before += self.n
             self.file.seek(self.bits_at + self.size)
@@ -204,32 +209,39 @@ class TokenFile:
 
 
 def encode_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, ids (2 or 4 bytes each) with the end id, n."""
+    """doc_id, ids (2 or 4 bytes each) with the end id; and one row for each task, with ids null, that has its counts of ids."""
 
     def run(batches):
         codec = tokens_of(path, True)
         end = np.array([end_id], codec.wide).tobytes()
+        total = np.zeros(codec.size, np.int64)
         for batch in batches:
             codes = [x.tobytes() + end for x in codec.encode(batch.column("text").to_pylist())]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(codes, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, len(codes), 512):
+                total += np.bincount(np.frombuffer(b"".join(codes[at : at + 512]), codec.wide), minlength=codec.size)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(codes, pa.binary()), pa.nulls(len(codes), pa.binary())], ["doc_id", "ids", "counts"])
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(used, small(total[used]))], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def global_counts(encoded: DataFrame, wide: np.dtype, symbols: int) -> np.ndarray:
+def global_counts(encoded: DataFrame, symbols: int) -> np.ndarray:
     """How often each id occurs in all documents; what reaches the driver is one row for each id of the vocabulary at most."""
 
     def run(batches):
         total = np.zeros(symbols, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids = np.frombuffer(b"".join(batch.column("ids").slice(at, 512).to_pylist()), wide)
-                total += np.bincount(ids, minlength=symbols)[:symbols]
+            for data in batch.column("counts").to_pylist():
+                used, n = unpack(data)
+                total[used] += n.astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     counts = np.zeros(symbols, np.int64)
-    for row in encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    rows = encoded.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long")
+    for row in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     return counts
 
@@ -249,7 +261,7 @@ def write_files(encoded: DataFrame, folder: str, wide: np.dtype, lengths: np.nda
                 for doc_id, code in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                     ids = np.frombuffer(code.as_buffer(), wide).copy()
                     total += len(ids)
-                    yield NO_ID if doc_id is None else doc_id, ids
+                    yield doc_id, ids
 
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.huft"
@@ -260,29 +272,37 @@ def write_files(encoded: DataFrame, folder: str, wide: np.dtype, lengths: np.nda
 
 
 def read_files(listed: DataFrame) -> DataFrame:
-    """Decode files: doc_id, at (ids before it in its file), ids as 32-bit numbers, n_tokens, ids_crc32, with the columns path and start of listed."""
+    """Decode files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as 32-bit numbers)."""
+    names, most = ["doc_id", "start", "n_tokens", "ids_crc32"], 1 << 16
+
+    def rows_of(rows):
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches):
         for batch in batches:
             release()
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
-                file = TokenFile(path)
-                rows = [(doc_id, before + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc_id, at, ids in file.documents()]
+                file, rows = TokenFile(path), []
+                for doc_id, at, ids in file.documents():
+                    rows.append((doc_id, before + at, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes())))
+                    if len(rows) >= most:
+                        yield rows_of(rows)
+                        rows = []
                 file.close()
-                rows = [(None if r[0] == NO_ID else r[0], *r[1:]) for r in rows]
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield rows_of(rows)
 
-    return listed.select("path", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.select("path", "before").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def token_files(docs: DataFrame, path: str, folder: str, files: int) -> DataFrame:
+def token_files(docs: DataFrame, path: str, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode, count, write; gives the list of files (path, before: ids in all files before it), one row a file."""
     spark = docs.sparkSession
     codec = WordTokens(path, True)  # for its size; the driver keeps no memo
     encoded = staged(encode_table(docs, path), "ids")
-    lengths = code_lengths(global_counts(encoded, codec.wide, codec.size))
-    written = staged(write_files(encoded, folder, codec.wide, lengths, files), "files")
+    counts = global_counts(encoded, codec.size)
+    files = max(1, -(-int(counts.sum()) // file_ids))
+    written = staged(write_files(encoded.filter("ids is not null").select("doc_id", "ids"), folder, codec.wide, code_lengths(counts), files), "files")
     rows = sorted((r.part, r.path, r.n) for r in written.collect())  # one row for each file
     before, out = 0, []
     for _, name, n in rows:
@@ -295,6 +315,4 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    listed = token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-files"), files)
-    return read_files(listed)
+    return read_files(token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-files")))

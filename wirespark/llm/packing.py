@@ -12,103 +12,19 @@ ties go to the earlier piece; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.chunks import LONGEST_KEPT, ChunkEncoder
-from wirespark.llm.common import doc_texts, held, staged, table
+from wirespark.llm.common import doc_texts, staged, table
+from wirespark.llm.words import tokens_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def byte_symbols() -> dict[int, str]:
-    """The character by which byte-level vocabularies show each byte: printable ones as they are, the others from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-class WordTokens:
-    """A tokenizer file of the tokenizers library, asked once for each distinct chunk.
-
-    Chunks of Latin letters, perhaps with a mark after them, are one word to either pre-tokenizer; they go straight to
-    the library's model. All others pass its whole chain.
-
-    added: whether the file's added tokens (<|endoftext|>) are found in texts, as the library does by default; texts are
-    cut there, and what is between them is encoded as texts of their own. Otherwise they are ordinary characters.
-    """
-
-    def __init__(self, path: str, spaced: bool, added: bool = False):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
-        self.wide = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        found = self.tokenizer.get_added_tokens_decoder() if added else {}
-        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in found.values()):
-            raise ValueError("added tokens that are not plain literals")
-        self.added = {x.content: np.array([k], self.wide).tobytes() for k, x in found.items()}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
-        self.codes = [k.to_bytes(self.wide.itemsize, "little") for k in range(self.size)]
-        self.spaced, self.symbols, self.tails = spaced, byte_symbols(), {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.most_words = 200_000
-        self.chunks = ChunkEncoder(self._encode_many, spaced, 450_000)
-
-    def _word(self, word: str, tokenize) -> bytes:
-        if word.isascii():
-            shown = "\u0120" + word[1:] if word[0] == " " else word
-        else:
-            shown = word.encode().decode("latin-1").translate(self.symbols)
-        return b"".join([self.codes[x.id] for x in tokenize(shown)])
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
-
-    def _encode_many(self, chunks: list[str]) -> list[bytes]:
-        lower = not self.spaced  # that tokenizer lowers case
-        out, tokenize, words, tails = [], self.tokenizer.model.tokenize, self.words, self.tails
-        for x in chunks:
-            word = x.rstrip(".,!?;:")
-            letters = word[1:] if self.spaced and word[:1] == " " else word
-            if not letters.isalpha() or len(x) > LONGEST_KEPT or not (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
-                out.append(self._whole(x))
-                continue
-            tail = x[len(word) :]
-            if lower:
-                word = word.lower()
-            code = words.get(word)
-            if code is None:
-                code = self._word(word, tokenize)
-                if len(words) < self.most_words:
-                    words[word] = code
-            if tail not in tails:
-                tails[tail] = self._whole(tail)
-            out.append(code + tails[tail])
-        return out
-
-    def encode(self, texts) -> Iterator[np.ndarray]:
-        cut = [self.split(x) if any(a in x for a in self.added) else [x] for x in texts]
-        codes = self.chunks.encode(x for parts in cut for x in parts[::2])
-        for parts in cut:
-            code = next(codes)
-            for a in parts[1::2]:
-                code += self.added[a] + next(codes)
-            yield np.frombuffer(code, self.wide)
-
-
-def tokens_of(path: str, spaced: bool) -> WordTokens:
-    """spaced: whether the tokenizer's tokens hold the space before them."""
-    return held(("words", path, spaced), lambda: WordTokens(path, spaced, added=True))
-
-
 def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFrame:
     """One row for each piece of at most `most` ids of each document with its end id."""
 
