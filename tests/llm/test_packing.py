@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wirespark.llm.packing import op7_best_fit_packing, pack, packed
+from wirespark.llm.packing import in_order, op7_best_fit_packing, pack, packed
 from wirespark.llm.words import WordTokens
 
 
@@ -28,16 +28,33 @@ def test_chunked_ids_are_the_library_s(name, lead):
 def test_pack_is_whole_and_tight():
     random.seed(1)
     for lengths in ([random.randint(1, 900) for _ in range(3000)], [1] * 5000, [2047] * 50, [random.choice([500, 520, 700, 333]) for _ in range(500)], []):
-        bins = pack(lengths, 2048)
+        bins, *_ = pack(lengths, 2048)
         assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in b) <= 2048 for b in bins)
-    assert len(pack([random.randint(1, 900) for _ in range(3000)], 2048)) <= 1.01 * 3000 * 450 / 2048 + 2
+    assert len(pack([random.randint(1, 900) for _ in range(3000)], 2048)[0]) <= 1.01 * 3000 * 450 / 2048 + 2
 
 
-def test_local_search_empties_a_bin_that_best_fit_leaves():
-    # best fit decreasing takes 6+3, 5+4, 2+2+... : an exchange frees a bin
-    lengths = [44, 26, 26, 26, 26, 24, 24, 4]
-    assert len(pack(lengths, 100)) == 2 == -(-sum(lengths) // 100)
+def squares(bins, lengths):
+    return sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+
+
+def test_search_empties_bins_and_raises_the_squared_fill():
+    random.seed(5)
+    for lengths in ([random.randint(300, 900) for _ in range(1500)], [random.randint(400, 800) for _ in range(1500)], [random.randint(1, 2047) for _ in range(1000)]):
+        start = in_order(lengths, 2048)
+        bins, moves, exchanges = pack(lengths, 2048)
+        assert moves > 0 and exchanges > 0
+        assert len(bins) < len(start) and squares(bins, lengths) > squares(start, lengths)
+        again, *_ = pack(lengths, 2048, bins)  # going on from there makes nothing worse
+        assert len(again) <= len(bins) and squares(again, lengths) >= squares(bins, lengths)
+    assert len(pack([random.randint(300, 900) for _ in range(1500)], 2048)[0]) <= 1.03 * 1500 * 600 / 2048
+
+
+def test_two_documents_for_one():
+    # filled in order: 60+35, 50+20+20, 15; only 60+20+20 and 50+35+15 make two
+    lengths = [60, 35, 50, 20, 20, 15]
+    bins, _, exchanges = pack(lengths, 100)
+    assert len(in_order(lengths, 100)) == 3 and sorted(sorted(lengths[i] for i in b) for b in bins) == [[15, 35, 50], [20, 20, 60]] and exchanges > 0
 
 
 def check(rows, got):
@@ -64,6 +81,7 @@ def test_query(spark, tables):
     tables.make("documents", [(*r, "x") for r in rows], "doc_id long, text string, length string")
     got = op7_best_fit_packing(spark, tables).collect()
     assert check(rows, got) <= -(-sum(r.length for r in got) // 2048) + 2
+    assert max(r.moves for r in got) > 0 and max(r.exchanges for r in got) > 0
     tables.make("documents", [(1, "a b"), (1, "a b")], "doc_id long, text string")
     assert op7_best_fit_packing(spark, tables).count() == 2
     tables.make("documents", [], "doc_id long, text string")

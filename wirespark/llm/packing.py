@@ -1,10 +1,16 @@
 """Operator 7: best-fit packing of token sequences by swap-based local search.
 
 Documents are tokenised, ended by one id and, where longer than a sequence, cut into full pieces. Pieces shorter than
-a sequence are dealt to shards of bounded size; each shard is packed by best fit decreasing, then improved: documents
-are moved, exchanged one for one or two for one between any two underfull bins whenever that raises the sum of squared
-fills, until no such step is left or the lower bound is met. What is left in underfull bins of all shards meets once
-more, in shards of the same bound, so that the number of shards costs few sequences.
+a sequence are dealt to shards of bounded size. In a shard bins are filled in the order of the documents, and local
+search does the packing, in two kinds of rounds. Bins take: those with the longest documents first, each gets from any
+underfull bin the document that, moved to it or exchanged for a shorter one, leaves it the least room. Bins give: the
+emptiest first, one or two of their documents are moved to any underfull bin, or exchanged for one shorter document of
+it, where that is left with the least room. Each step raises the sum of squared fills, and bins empty; it ends when no
+step is left or the lower bound of bins is met.
+
+Then bins of all shards that are less than KEEP full meet in new shards, and the same search goes on from there: nothing
+gets worse by it, and the number of shards costs few sequences. SHARD_ROWS and KEEP are the only parameters; neither
+drops a step that could be made inside a shard.
 
 Defined results: null text is the empty text, a document of one id; repeated rows are packed as often as they occur;
 ties go to the earlier piece; an empty table gives an empty result; other columns are ignored.
@@ -16,12 +22,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirespark.llm.common import doc_texts, staged, table
 from wirespark.llm.words import tokens_of
 
+#: Pieces that one task packs at a time, about.
+SHARD_ROWS = 20_000
+#: Bins of a shard that are at least so full are done; the others meet those of other shards.
+KEEP = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,102 +54,128 @@ def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFra
     return doc_texts(docs).mapInArrow(run, PIECES)
 
 
-class Bins:
-    """Bins by free room: sets of bins for each room, and a bit mask of rooms that occur, to find the best fit at once."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.items: list[list[int]] = []
-        self.room: list[int] = []
-        self.by_room: list[set[int]] = [set() for _ in range(most + 1)]
-        self.mask = 0
-
-    def _put(self, b: int) -> None:
-        self.by_room[self.room[b]].add(b)
-        self.mask |= 1 << self.room[b]
-
-    def _take(self, b: int) -> None:
-        rest = self.by_room[self.room[b]]
-        rest.discard(b)
-        if not rest:
-            self.mask &= ~(1 << self.room[b])
-
-    def change(self, b: int, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
-        """Take (item, length) out of bin b and put others in."""
-        self._take(b)
-        for item, length in out:
-            self.items[b].remove(item)
-            self.room[b] += length
-        for item, length in into:
-            self.items[b].append(item)
-            self.room[b] -= length
-        if self.items[b]:
-            self._put(b)
-
-    def place(self, item: int, length: int, but: int = -1) -> bool:
-        """Best fit; False if a new bin was needed (or, with `but`, if no other bin has room)."""
-        rooms = self.mask >> length
-        while rooms:
-            room = length + (rooms & -rooms).bit_length() - 1
-            for b in self.by_room[room]:
-                if b != but:
-                    self.change(b, [], [(item, length)])
-                    return True
-            rooms &= rooms - 1
-        if but < 0:
-            self.items.append([item])
-            self.room.append(self.most - length)
-            self._put(len(self.items) - 1)
-        return False
-
-
-def pack(lengths: list[int], most: int) -> list[list[int]]:
-    """Bins of item numbers: best fit decreasing, improved until no exchange is left or the lower bound is met."""
-    bins = Bins(most)
-    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        bins.place(item, lengths[item])
-    items, bound = [x for x in bins.items if x], -(-sum(lengths) // most)
-    if len(items) > bound:
-        search = Exchanges(items, lengths, most)
-        search.run(bound)
-        items = [x for x in search.items if x]
-    return items
-
-
-class Exchanges:
-    """Local search over all underfull bins. Each holds a slot for each item and one of length 0, so that a move is an exchange for nothing."""
+def in_order(lengths: list[int], most: int) -> list[list[int]]:
+    """Bins filled one after the other: the start of the search."""
+    bins: list[list[int]] = []
+    room = 0
+    for i, n in enumerate(lengths):
+        if not bins or n > room:
+            bins.append([])
+            room = most
+        bins[-1].append(i)
+        room -= n
+    return bins
+
+
+class LocalSearch:
+    """Moves and exchanges between underfull bins.
+
+    An underfull bin has a slot for each different length among its items, and one of length 0, so that a move is an
+    exchange for nothing. Slots are arrays, and those of all bins are tried at once.
+    """
+
+    BLOCK = 4096
 
     def __init__(self, items: list[list[int]], lengths: list[int], most: int):
-        self.items, self.lengths, self.most = items, lengths, most
-        self.room = np.array([most - sum(lengths[i] for i in x) for x in items])
+        self.items, self.lengths, self.most = [list(x) for x in items], lengths, most
+        self.room = [most - sum(lengths[i] for i in x) for x in items]
         self.left = len(items)
-        self._index()
+        self.moves = self.exchanges = 0
+
+    def _slots_of(self, b: int) -> list[int]:
+        """The items of a bin that stand for their length; -1 for none. Bins that are full or empty have nothing to gain."""
+        if not self.room[b] or not self.items[b]:
+            return []
+        return [-1, *{self.lengths[i]: i for i in reversed(self.items[b])}.values()]
 
     def _index(self) -> None:
-        """Slots of the bins that are underfull now; others have nothing to gain."""
-        bins = [b for b, x in enumerate(self.items) if x and self.room[b]]
-        pairs = [(b, i) for b in bins for i in (-1, *self.items[b])]
-        self.bin = np.array([b for b, _ in pairs], np.int64)
-        self.item = np.array([i for _, i in pairs], np.int64)
-        self.length = np.array([0 if i < 0 else self.lengths[i] for _, i in pairs], np.int64)
-        self.free = self.room[self.bin] if pairs else np.zeros(0, np.int64)
         self.slots: dict[int, list[int]] = {}
-        for k, (b, _) in enumerate(pairs):
-            self.slots.setdefault(b, []).append(k)
-
-    def run(self, bound: int) -> None:
-        """The emptiest bins give first, until a whole round changes nothing."""
+        found: list[tuple[int, int]] = []
+        for b in range(len(self.items)):
+            if own := self._slots_of(b):
+                self.slots[b] = list(range(len(found), len(found) + len(own)))
+                found += [(b, i) for i in own]
+        self.n, self.idle = len(found), 0
+        size = self.n + self.n // 2 + 64
+        self.bin, self.item, self.length, self.free = (np.zeros(size, np.int64) for _ in range(4))
+        for k, (b, i) in enumerate(found):
+            self._set(k, b, i)
+
+    def _set(self, k: int, b: int, i: int) -> None:
+        self.bin[k], self.item[k], self.length[k], self.free[k] = b, i, 0 if i < 0 else self.lengths[i], self.room[b]
+
+    def run(self, bound: int) -> list[list[int]]:
+        """Rounds of taking and giving, until both change nothing."""
+        steps = -1
+        while steps != self.moves + self.exchanges and self.left > bound:
+            steps = self.moves + self.exchanges
+            self._take(bound)
+            self._give(bound)
+        return [x for x in self.items if x]
+
+    def _take(self, bound: int) -> None:
+        """Bins with the longest documents take first, one document at a time."""
+        where: list[dict[int, None]] = [{} for _ in range(self.most + 1)]  # by length: the underfull bins that have such a document
+        mask = 0
+        underfull = [b for b, x in enumerate(self.items) if x and self.room[b]]
+        lengths = {b: {self.lengths[i]: i for i in reversed(self.items[b])} for b in underfull}
+
+        def enter(b: int) -> None:
+            nonlocal mask
+            lengths[b] = {self.lengths[i]: i for i in reversed(self.items[b])} if self.room[b] else {}
+            for x in lengths[b]:
+                where[x][b] = None
+                mask |= 1 << x
+
+        def leave(b: int) -> None:
+            nonlocal mask
+            for x in lengths[b]:
+                del where[x][b]
+                if not where[x]:
+                    mask &= ~(1 << x)
+
+        for b in underfull:
+            enter(b)
+        for taker in sorted(underfull, key=lambda b: (-max(lengths[b]), b)):
+            leave(taker)
+            while self.left > bound and self.items[taker] and (room := self.room[taker]):
+                best = 0, 0, 0, -1
+                for out in (0, *{self.lengths[i] for i in self.items[taker]}):
+                    into = (mask & (1 << room + out + 1) - 1).bit_length() - 1  # the longest that fits
+                    if into - out > best[0]:
+                        giver = next((b for b in where[into] if room - (into - out) < self.room[b]), -1)
+                        best = (into - out, into, out, giver) if giver >= 0 else best
+                gain, into, out, giver = best
+                if not gain:
+                    break
+                leave(giver)
+                item, back = lengths[giver][into], [next(i for i in self.items[taker] if self.lengths[i] == out)] if out else []
+                self.items[giver] = [i for i in self.items[giver] if i != item] + back
+                self.items[taker] = [i for i in self.items[taker] if i not in back] + [item]
+                self.room[giver] += gain
+                self.room[taker] -= gain
+                enter(giver)
+                self.left -= not self.items[giver]
+                self.moves += not out
+                self.exchanges += bool(out)
+            enter(taker)
+
+    def _give(self, bound: int) -> None:
+        """The emptiest bins give first, one or two documents at a time, until a whole round changes nothing."""
+        self._index()
         changed = True
         while changed and self.left > bound:
             changed = False
-            self._index()
             for giver in sorted(self.slots, key=lambda b: (-self.room[b], b)):
-                while self.left > bound and self.items[giver] and self.room[giver] and self._exchange(giver):
+                while self.left > bound and self.items[giver] and self.room[giver] and self._step(giver):
                     changed = True
+                    if self.idle * 2 > self.n:
+                        self._index()
+            self._index()
 
-    def _exchange(self, giver: int) -> bool:
-        """One or two items of the giver for one shorter item, or none, of a bin at least as full: of all such bins the one
-        that is left with the least room. The squared fill rises with each, so this ends."""
+    def _step(self, giver: int) -> bool:
+        """One or two items of the giver for one shorter item, or none, of another bin, which ends fuller than the giver was (so
+        the squared fill rises, and this ends): of all such bins the one that is left with the least room."""
         own: dict[int, list[int]] = {}
         for i in self.items[giver]:
             own.setdefault(self.lengths[i], []).append(i)
@@ -151,71 +187,96 @@ class Exchanges:
         sums = sums[sums <= self.most]
         both[sums] = sums
         floor = np.maximum.accumulate(both)
-        gain = floor[self.length + self.free] - self.length
-        rest = np.where((gain > 0) & (self.free <= self.room[giver]) & (self.bin != giver), self.free - gain, self.most)
-        k = int(rest.argmin()) if len(rest) else 0
-        if not len(rest) or rest[k] == self.most:
+        best, k, room = self.most, -1, self.room[giver]
+        for a in range(0, self.n, self.BLOCK):
+            part = slice(a, min(a + self.BLOCK, self.n))
+            length, free = self.length[part], self.free[part]
+            gain = floor[length + free] - length
+            rest = free - gain
+            rest = np.where((gain > 0) & (rest < room) & (self.bin[part] != giver), rest, self.most)
+            j = int(rest.argmin())
+            if rest[j] < best:
+                best, k = int(rest[j]), a + j
+                if not best:
+                    break  # none can be left with less
+        if k < 0:
             return False
-        taker, out, total = int(self.bin[k]), int(self.item[k]), int(self.length[k] + gain[k])
+        taker, out = int(self.bin[k]), int(self.item[k])
+        total = int(self.length[k] + self.free[k]) - best
         into = own[total][:1] if total in own else next([own[x][0], own[total - x][-1]] for x in own if total - x in own and (total != 2 * x or len(own[x]) > 1))
         for b, less, more in ((giver, into, [out]), (taker, [out], into)):
-            keep = [i for i in self.items[b] if i not in less]
-            self.items[b] = keep + [i for i in more if i >= 0]
+            self.items[b] = [i for i in self.items[b] if i not in less] + [i for i in more if i >= 0]
             self.room[b] = self.most - sum(self.lengths[i] for i in self.items[b])
             self._refresh(b)
+        self.moves += out < 0
+        self.exchanges += out >= 0
         self.left -= not self.items[giver]
         return True
 
     def _refresh(self, b: int) -> None:
-        """The slots of a changed bin; those that it no longer needs count as full, and more are appended in _index."""
-        old = self.slots[b]
-        new = [-1, *self.items[b]] if self.items[b] and self.room[b] else []
-        if len(new) > len(old):
-            more = range(len(self.bin), len(self.bin) + len(new) - len(old))
-            for name in ("bin", "item", "length", "free"):
-                setattr(self, name, np.append(getattr(self, name), np.zeros(len(more), np.int64)))
-            old += more
+        """The slots of a changed bin; those that it no longer needs hold nothing until they are counted anew."""
+        old, new = self.slots[b], self._slots_of(b)
+        while len(old) < len(new):
+            if self.n == len(self.bin):
+                for name in ("bin", "item", "length", "free"):
+                    setattr(self, name, np.append(getattr(self, name), np.zeros(self.n // 2 + 64, np.int64)))
+            old.append(self.n)
+            self.n += 1
         for k, i in zip(old, new):
-            self.bin[k], self.item[k], self.length[k], self.free[k] = b, i, 0 if i < 0 else self.lengths[i], self.room[b]
+            self._set(k, b, i)
         for k in old[len(new) :]:
             self.length[k] = self.free[k] = 0  # nothing fits in
-            self.bin[k] = b
+        self.idle += len(old) - len(new)
+        del old[len(new) :]
+
 
+def pack(lengths: list[int], most: int, bins: list[list[int]] | None = None) -> tuple[list[list[int]], int, int]:
+    """Bins of item numbers, and the moves and exchanges that made them from `bins`, or from bins filled in order."""
+    search = LocalSearch(in_order(lengths, most) if bins is None else bins, lengths, most)
+    found = search.run(-(-sum(lengths) // most))
+    return found, search.moves, search.exchanges
 
-def packed(pieces: DataFrame, most: int = 2048, shard_rows: int = 20_000, keep_bins: bool = True) -> DataFrame:
-    """pieces (staged) with sequence_id and offset. shard_rows bounds what one task packs at a time."""
-    n = pieces.count()
-    full = pieces.filter(F.col("length") >= most)
+
+def packed(pieces: DataFrame, most: int = 2048, shard_rows: int = SHARD_ROWS, keep: float = KEEP) -> DataFrame:
+    """pieces (staged, `row` a number of its own for each) with sequence_id (the smallest row of the sequence), offset, and the
+    moves and exchanges of the last search that the piece took part in. shard_rows bounds what one task packs at a time."""
+    full = pieces.filter(F.col("length") >= most).select("*", F.col("row").alias("sequence_id"), *(F.lit(0).cast("long").alias(x) for x in ("offset", "moves", "exchanges")))
     rest = pieces.filter(F.col("length") < most)
-    done = full.select("*", F.concat_ws(":", F.lit("f"), "row"), F.lit(0).cast("long")).toDF(*pieces.columns, "bin", "offset")
-    first = _packed_shards(rest, most, max(1, -(-n // shard_rows)), "a", final=n <= shard_rows)
-    if n > shard_rows:
-        first = staged(first, "packed")
-        left = first.filter("offset < 0").select(*pieces.columns)
-        n_left = left.count()
-        again = _packed_shards(left, most, max(1, -(-n_left // shard_rows)), "b", final=True)
-        first = first.filter("offset >= 0").unionByName(again)
-    return done.unionByName(first).withColumn("sequence_id", F.xxhash64("bin")).drop("bin", "row")
-
-
-def _packed_shards(rest: DataFrame, most: int, shards: int, label: str, final: bool) -> DataFrame:
-    """Pack each shard; unless final, pieces of bins that are less than 98 % full come back with offset -1."""
-    names = [*rest.columns, "bin", "offset"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields) + ", bin string, offset long"
-
-    def run(key, group):
+    first = staged(_searched(rest, F.xxhash64("row"), _shards(rest, shard_rows), most, keep), "packed")
+    left = first.filter("offset < 0").select(*pieces.columns, "sequence_id")
+    again = _searched(left, F.xxhash64("sequence_id"), _shards(left, shard_rows), most, 0.0)
+    return full.unionByName(first.filter("offset >= 0")).unionByName(again).drop("row")
+
+
+def _shards(rows: DataFrame, most: int) -> int:
+    return max(1, -(-rows.count() // most))
+
+
+def _searched(rest: DataFrame, by: Column, shards: int, most: int, keep: float) -> DataFrame:
+    """Search each shard, from the bins named by sequence_id if there are any; pieces of bins less than `keep` full come back with offset -1."""
+    names = [*(x for x in rest.columns if x != "sequence_id"), "sequence_id", "offset", "moves", "exchanges"]
+    schema = ", ".join([*(f"{x} {rest.schema[x].dataType.simpleString()}" for x in names[:-4]), *(f"{x} long" for x in names[-4:])])
+
+    def run(group):
         group = group.drop_columns(["shard"]).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
-        lengths = group.column("length").to_pylist()
-        offset, where = [-1] * len(lengths), [""] * len(lengths)
-        for k, items in enumerate(pack(lengths, most)):
-            if final or sum(lengths[i] for i in items) >= 0.98 * most:
-                at = 0
-                for i in items:
-                    offset[i], where[i] = at, f"{label}:{key[0].as_py()}:{k}"
-                    at += lengths[i]
-        return group.append_column("bin", pa.array(where, pa.string())).append_column("offset", pa.array(offset, pa.int64())).select(names)
-
-    return rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
+        lengths, rows = group.column("length").to_pylist(), group.column("row").to_pylist()
+        bins = None
+        if "sequence_id" in group.column_names:
+            named: dict[int, list[int]] = {}
+            for i, x in enumerate(group.column("sequence_id").to_pylist()):
+                named.setdefault(x, []).append(i)
+            bins, group = list(named.values()), group.drop_columns(["sequence_id"])
+        found, moves, exchanges = pack(lengths, most, bins)
+        offset, sequence = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for items in found:
+            sequence[items] = min(rows[i] for i in items)
+            ends = np.cumsum([lengths[i] for i in items])
+            offset[items] = np.append(0, ends[:-1]) if ends[-1] >= keep * most else -1
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("moves", np.full(len(lengths), moves)), ("exchanges", np.full(len(lengths), exchanges))):
+            group = group.append_column(name, pa.array(values, pa.int64()))
+        return group.select(names)
+
+    return rest.withColumn("shard", F.pmod(by, F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, most: int = 2048) -> DataFrame:
