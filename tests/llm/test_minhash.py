@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from wirespark.llm.graph import components
-from wirespark.llm.minhash import SetStore, band_keys, links_among, op10_minhash_dedup, shingle_set, signature
+from wirespark.llm.minhash import SetStore, band_keys, least_agreeing, links_among, op10_minhash_dedup, shingle_set, signature
 
 
 def brute(rows, size, percent):
@@ -71,7 +71,7 @@ def test_members_of_a_band_are_linked_through_others(tmp_path):
     # 1 and 2 are in no component with their head; they are linked with each other
     x = shingle_set(" ".join(f"w{i}" for i in range(100)), 3)
     y = np.unique(np.concatenate([x[:-3], x[:2] + np.uint64(1 << 20)]))
-    data = [signature(s).tobytes() + np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in (x, y)]
+    data = [signature(s).tobytes() + s.tobytes() for s in (x, y)]
     (tmp_path / "s.sets").write_bytes(b"".join(data))
     pointers = [("s", 0, len(x)), ("s", len(data[0]), len(y))]
     sigs = np.stack([signature(x), signature(y)])
@@ -80,6 +80,29 @@ def test_members_of_a_band_are_linked_through_others(tmp_path):
     assert links_among([1, 2], [1, 1], {0}, pointers, sigs, 85, SetStore(str(tmp_path)), both, both) == []
 
 
+def test_agreement_that_is_asked_for_is_all_but_certain():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        least = least_agreeing(percent)
+        assert 0.4 * 128 < least < 0.7 * 128
+        sets = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2654435761)) for _ in range(40)]
+        share = [x[: int(len(x) * percent / 100) + 1] for x in sets]  # similarity just over the threshold
+        assert min((signature(a) == signature(b)).sum() for a, b in zip(sets, share)) > least
+
+
+def test_large_groups_and_long_texts(spark, tables):
+    random.seed(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = random.choices(words, k=120)
+    rows = [(i, " ".join(base + [f"t{i}"])) for i in range(1500)]  # near copies, more than a task compares at a time
+    rows += [(2000 + i, " ".join(base)) for i in range(1500)]  # exact ones
+    long = random.choices(words, k=60_000)
+    rows += [(9000, " ".join(long)), (9001, " ".join(long[:-9])), (9002, " ".join(reversed(long)))]
+    tables.make("documents", rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op10_minhash_dedup(spark, tables).collect()}
+    assert got == {i: 0 for i, _ in rows if i < 9000} | {9000: 9000, 9001: 9000, 9002: 9002}
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(200, 201), (201, 200), (205, 201)]

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from wirespark.llm.chunks import ChunkEncoder
-from wirespark.llm.common import doc_texts, held, table
+from wirespark.llm.common import doc_texts, held, table, without_gc
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -291,7 +291,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             codes = [x.tobytes() for x in codec.encode(batch.column("text").to_pylist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(codes, pa.binary())], ["doc_id", "ids"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return doc_texts(docs).mapInArrow(without_gc(run), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -328,7 +328,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"],
             )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
+    return doc_texts(docs).mapInArrow(without_gc(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

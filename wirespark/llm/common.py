@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if set_by_cluster:
         return set_by_cluster
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wirespark-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -44,10 +46,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Stands for a missing id where ids are kept as plain 64-bit numbers.
-NO_ID = -(1 << 63)
-
-
 _held: dict = {}
 
 
@@ -55,11 +53,32 @@ def held(key, make):
     """What is costly to make and large, one of a kind in a worker process: when another step asks for its own, the last one goes."""
     if key not in _held:
         release()
-        gc.disable()  # memos hold millions of small objects and no cycles; walking them costs a third of the time
         _held[key] = make()
     return _held[key]
 
 
+@contextlib.contextmanager
+def uncollected():
+    """Without cyclic garbage collection for a while: memos hold very many small objects and no cycles, and walking them costs time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def without_gc(run):
+    """A function of batches, for mapInArrow, that runs so."""
+
+    def wrapped(batches):
+        with uncollected():
+            yield from run(batches)
+
+    return wrapped
+
+
 def release() -> None:
     """Workers serve many steps: those that don't use the memo of another give it up."""
     if _held:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, release, shared_path, staged, table
+from wirespark.llm.common import doc_texts, release, shared_path, staged, table, without_gc
 from wirespark.llm.katz import pack, small, unpack
 from wirespark.llm.storage import open_file, write_file
 from wirespark.llm.words import WordTokens, tokens_of
@@ -224,7 +224,7 @@ def encode_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         if len(used):
             yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(used, small(total[used]))], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return doc_texts(docs).mapInArrow(without_gc(run), "doc_id long, ids binary, counts binary")
 
 
 def global_counts(encoded: DataFrame, symbols: int) -> np.ndarray:

@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import NO_ID, doc_texts, fold, release, shared_path, staged, table
+from wirespark.llm.common import doc_texts, fold, release, shared_path, staged, table
 from wirespark.llm.storage import filesystem, open_file
 
 BLOCK = 1 << 21
 MOST_DISCOUNTED = 5
+#: Bytes of text for each partition of the word and pair tables, so that a task's share doesn't grow with the corpus.
+PART_BYTES = 16 << 20
 HOT_MOST = 10_000
 HOT_LEAST = 200_000
 
@@ -113,7 +115,7 @@ class Unigrams:
 
 
 class BlockFile:
-    """A block in shared storage: doc_ids, whether held out, tokens of each document, and tokens as places in `words`."""
+    """A block in shared storage: doc_ids, which documents have one, which are held out, tokens of each, and tokens as places in `words`."""
 
     @staticmethod
     def read(file: str, at: int, size: int) -> list[np.ndarray]:
@@ -156,7 +158,8 @@ def tokenised(docs: DataFrame, held_out: Column, folder: str, parts: int, block:
             sizes, flags = np.array([len(x) for x in found], np.int64), np.array(held, bool)
             counts = np.bincount(places[1:][np.repeat(~flags, sizes)], minlength=len(words))
             counts[places[0]] = (~flags).sum()  # the start, a history as often as there are training texts
-            data = pack(np.array(ids, np.int64), flags, small(sizes), small(places[1:]), words)
+            named = np.array([x is not None for x in ids], bool)
+            data = pack(np.array([x or 0 for x in ids], np.int64), named, flags, small(sizes), small(places[1:]), words)
             out.write(data)
             part = (mixed(words) % np.uint64(parts)).astype(np.int64)
             rows = [(p, small(words[part == p]), small(counts[part == p])) for p in range(parts)]
@@ -171,7 +174,7 @@ def tokenised(docs: DataFrame, held_out: Column, folder: str, parts: int, block:
         with fs.open_output_stream(name) as out:
             for batch in batches:
                 for doc_id, text, flag in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "held_out"))):
-                    ids.append(NO_ID if doc_id is None else doc_id)
+                    ids.append(doc_id)
                     held.append(bool(flag))
                     found.append(hashes(text))
                     size += len(found[-1])
@@ -234,7 +237,7 @@ def sent_pairs(replies: DataFrame, parts: int, unigrams: Unigrams, hot: int) ->
 
     def run(key, group):
         file, at, size = (group.column(k)[0].as_py() for k in ("file", "at", "size"))
-        _, held, sizes, tokens, words = BlockFile.read(file, at, size)
+        _, _, held, sizes, tokens, words = BlockFile.read(file, at, size)
         counts, ids = _own_words(group, words, parts)
         start = int(np.searchsorted(words, START))
         v, w, times, _ = pairs_of(tokens.astype(np.int64), sizes.astype(np.int64), held, len(words), start)
@@ -322,7 +325,7 @@ def evaluated(replies: DataFrame, pairs: DataFrame, parts: int, unigrams: Unigra
 
     def run(key, words_in, pairs_in):
         file, at, size = (words_in.column(k)[0].as_py() for k in ("file", "at", "size"))
-        doc_ids, held, sizes, tokens, words = BlockFile.read(file, at, size)
+        doc_ids, named, held, sizes, tokens, words = BlockFile.read(file, at, size)
         sizes, tokens = sizes.astype(np.int64), tokens.astype(np.int64)
         counts, ids = _own_words(words_in, words, parts)
         start = int(np.searchsorted(words, START))
@@ -349,7 +352,7 @@ def evaluated(replies: DataFrame, pairs: DataFrame, parts: int, unigrams: Unigra
         base = np.log10((counts[tokens] + 1.0) / (unigrams.total + unigrams.types + 1.0))
         starts = np.cumsum(sizes) - sizes
         return pa.table({
-            "doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()),
+            "doc_id": pa.array(doc_ids, pa.int64(), mask=~named), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()),
             "n_known": pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()), "score": pa.array(np.add.reduceat(score, starts), pa.float64()),
         })
@@ -377,10 +380,11 @@ def _hot_and_counts(pairs: DataFrame) -> tuple[list[int], tuple[np.ndarray, np.n
     return stats, (np.array([r.history for r in hot], np.int64), np.array([[r[x] for x in names] for r in hot]).reshape(-1, width))
 
 
-def score_documents(docs: DataFrame, held_out: Column, block: int = BLOCK, hot_least: int = HOT_LEAST) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, block: int = BLOCK, hot_least: int = HOT_LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; documents that are not held out train the model."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
     words = staged(counted_words(tokenised(docs, held_out, shared_path(spark, "blocks"), parts, block), parts), "words")
     sums = words.filter("block is null").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ["tokens", "types", *(f"n{r}" for r in range(1, MOST_DISCOUNTED + 2))])).first()
     unigrams = Unigrams(max(sums[0], 0), sums[1], list(sums[2:]))

@@ -16,7 +16,6 @@ columns are ignored. Digits and marks between letters belong to no language.
 
 from __future__ import annotations
 
-import gc
 import re
 import unicodedata
 from collections import Counter
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, fold, release, slabs, staged, table
+from wirespark.llm.common import doc_texts, fold, release, slabs, staged, table, without_gc
 
 MOST = 1500
 GRAM = 3
@@ -232,13 +231,12 @@ def labelled(rows: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         release()
-        gc.disable()
         labeller = Labeller(shared.value)
         for batch in batches:
             got = labeller.label(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return doc_texts(rows).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return doc_texts(rows).mapInArrow(without_gc(run), "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

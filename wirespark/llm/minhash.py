@@ -3,7 +3,8 @@
 Each permutation of the shingles keeps its minimum and its maximum, so half as many hash evaluations give a signature
 of the same length; both are unbiased and their estimates vary less than those of minima alone. Signatures are banded:
 BANDS bands of ROWS values meet at similarity 0.85 but for a chance of 6e-11, at 0.8 of 5e-8. Sets of candidates are
-compared in full, so no link is taken on an estimate.
+compared in full, so no link is taken on an estimate. The last step below leaves out pairs of a band whose signatures
+agree so little that a similar pair would do so with a chance of LOSS at most; that is small beside what banding misses.
 
 Equal sets are one class, found by digest. Classes that share a band are first compared with the smallest class of that
 band (as many pairs as classes, not all pairs), then, where members are still in different components, with another
@@ -14,12 +15,13 @@ Full sets stay in files of the shared folder, and rows carry pointers to them, s
 
 Defined results: null text and text without words have an empty set and are linked with nothing; fewer words than a
 shingle make one shingle; ties go to the smaller doc_id; repeated rows are members of the same class, each returned;
-an empty table gives no rows; other columns are ignored. Shingles are 64-bit hashes (48 bits in the files): the chance
-that two of a pair of 20,000-word texts collide is about one in a million.
+an empty table gives no rows; other columns are ignored. Shingles are 64-bit hashes: the chance that two of a pair of
+20,000-word texts collide is about one in 10^11.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import OrderedDict
 
@@ -41,10 +43,20 @@ SIGNATURE_BYTES = 8 * PERMUTATIONS
 GROUP = 1024
 
 
-def least_estimate(percent: int) -> float:
-    """Below this estimate of similarity a pair isn't compared in full: 6.5 standard deviations under the threshold."""
-    s = percent / 100
-    return s - 6.5 * (s * (1 - s) / (2 * PERMUTATIONS)) ** 0.5
+#: The chance, for a pair at the threshold, that its signatures agree in fewer values than least_agreeing() asks for.
+LOSS = 1e-12
+#: Documents whose bands one task brings together, about.
+PART_DOCUMENTS = 8192
+
+
+def least_agreeing(percent: int, loss: float = LOSS) -> int:
+    """The most values k of a signature such that a pair of the given similarity agrees in fewer than k with a chance of at most `loss`."""
+    n, s, below = 2 * PERMUTATIONS, percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+        if below > loss:
+            return k
+    return n
 
 
 _rng = np.random.default_rng(20240501)
@@ -112,7 +124,7 @@ def signatures(docs: DataFrame, size: int, folder: str) -> DataFrame:
                     if not len(s):
                         rows.append((0, None, at))
                         continue
-                    data = signature(s).tobytes() + np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()  # the upper 48 bits
+                    data = signature(s).tobytes() + s.tobytes()
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), at))
                     out.write(data)
                     at += len(data)
@@ -148,9 +160,7 @@ class SetStore:
     def get(self, file: str, at: int, n: int) -> np.ndarray:
         key = file, at
         if key not in self.sets:
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(self.read(file, at + SIGNATURE_BYTES, 6 * n), np.uint8).reshape(n, 6)
-            self.sets[key] = wide.view(np.uint64).reshape(-1)
+            self.sets[key] = np.frombuffer(self.read(file, at + SIGNATURE_BYTES, 8 * n), np.uint64)
             if len(self.sets) > self.most:
                 self.sets.popitem(last=False)
         self.sets.move_to_end(key)
@@ -229,9 +239,9 @@ def links_among(nodes: list[int], components_: list[int], heads: set[int], point
         near = others[fits]
         if tested[i] or not len(near):
             continue
-        estimate = (sigs[near] == sigs[i]).mean(1)
-        likely = np.flatnonzero(estimate >= least_estimate(percent))
-        for j in near[likely[np.argsort(-estimate[likely], kind="stable")]].tolist():
+        agree = (sigs[near] == sigs[i]).sum(1)
+        likely = np.flatnonzero(agree >= least_agreeing(percent))
+        for j in near[likely[np.argsort(-agree[likely], kind="stable")]].tolist():
             if own[i] != own[j] and store.similar(pointers[i], pointers[j], percent):
                 own[own == own[j]] = own[i]
                 found.append((nodes[i], nodes[j]))
@@ -293,8 +303,9 @@ def _pairs(found):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """row, doc_id, text_hash, n_shingles, component (a number of its own for each), component_id (the smallest doc_id reachable)."""
     spark = docs.sparkSession
-    parts, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "sets")
+    folder = shared_path(spark, "sets")
     rows = staged(signatures(docs, size, folder), "signatures")
+    parts = max(1, -(-rows.count() // PART_DOCUMENTS))
     by_digest = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row", "n_shingles", "file", "at")).alias("r"), F.min("doc_id").alias("low"))
     classes = staged(by_digest.select("digest", "low", F.col("r.row").alias("node"), F.col("r.n_shingles").alias("n"), "r.file", "r.at"), "classes")
     shared = staged(bands(classes, folder, parts), "bands")

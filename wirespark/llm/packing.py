@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import doc_texts, staged, table
+from wirespark.llm.common import doc_texts, staged, table, without_gc
 from wirespark.llm.words import tokens_of
 
 #: Pieces that one task packs at a time, about.
@@ -51,7 +51,7 @@ def pieces_of(docs: DataFrame, path: str, most: int, end_id: int = 0) -> DataFra
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return doc_texts(docs).mapInArrow(run, PIECES)
+    return doc_texts(docs).mapInArrow(without_gc(run), PIECES)
 
 
 def in_order(lengths: list[int], most: int) -> list[list[int]]:
