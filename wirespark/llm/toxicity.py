@@ -20,7 +20,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 
@@ -30,9 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirespark.llm.common import doc_texts, fold, release, slabs, staged, table
+from wirespark.llm.common import doc_texts, fold, held, release, shared_path, slabs, staged, table, without_gc
+from wirespark.llm.katz import pack, unpack
+from wirespark.llm.storage import open_file, write_file
 
-ORDER = 5
+ORDER = 7
 #: Taken off a gram that its class has seen once, twice, three times, oftener. What was seen once is left to the shared model.
 DISCOUNTS = (1.0, 1.6, 2.0, 2.4)
 MOST = 4000
@@ -45,86 +46,82 @@ EDGE = "\0"
 class ToxicModel:
     """Log ratios of letter grams, and of contexts for grams that neither class has; arrays in the order of their keys."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], order: int = ORDER):
-        """counts: word, occurrences in ordinary and in toxic documents."""
+    def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER):
+        """counts: for each word its occurrences in ordinary and in toxic documents."""
         self.order = order
-        top: tuple[Counter, Counter] = (Counter(), Counter())
-        for word, *by_class in counts:
-            padded = EDGE * (order - 1) + word + EDGE
-            for k in range(len(word) + 1):
-                gram = padded[k : k + order]
-                for c in (0, 1):
-                    if by_class[c]:
-                        top[c][gram] += by_class[c]
-        shared = SharedBackoff(top[0].keys() | top[1].keys(), order - 1)
-        total, taken = [Counter(), Counter()], [Counter(), Counter()]
-        off = lambda n: DISCOUNTS[min(n, len(DISCOUNTS)) - 1]
+        grams, top = self._top(words, counts)
+        below = shared_backoff(grams[1:])  # of what follows a gram's first letter
+        context = _keys(grams[:-1])
+        contexts, of_gram = np.unique(context, return_inverse=True)
+        p, rest = [], []
         for c in (0, 1):
-            for gram, n in top[c].items():
-                total[c][gram[:-1]] += n
-                taken[c][gram[:-1]] += off(n)
-        rest = [{h: taken[c][h] / n for h, n in total[c].items()} for c in (0, 1)]
-        contexts = {h: np.log(rest[1].get(h, 1.0) / rest[0].get(h, 1.0)) for h in total[0].keys() | total[1].keys()}
-        grams = {}
-        for gram in top[0].keys() | top[1].keys():
-            h, below = gram[:-1], shared.probability(gram[1:])
-            p = [(top[c][gram] - off(top[c][gram]) if top[c][gram] else 0.0) / total[c][h] + rest[c][h] * below if h in total[c] else below for c in (0, 1)]
-            grams[gram] = np.log(p[1] / p[0])
-        self.grams, self.contexts = self._sorted(grams), self._sorted(contexts)
-        self.weights = np.zeros(4)
-
-    @staticmethod
-    def _sorted(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        if not values:
-            return np.zeros(1, np.uint64), np.zeros(1)
-        codes = np.array([[ord(x) for x in gram] for gram in values], np.uint64)
-        keys = _keys(codes.T)
+            off = np.where(top[c] > 0, np.array(DISCOUNTS)[np.clip(top[c], 1, len(DISCOUNTS)).astype(np.int64) - 1], 0.0)
+            total = np.bincount(of_gram, top[c], len(contexts))
+            share = np.where(total > 0, np.bincount(of_gram, off, len(contexts)) / np.maximum(total, 1), 1.0)
+            rest.append(share)
+            p.append((top[c] - off) / np.maximum(total[of_gram], 1) + share[of_gram] * below)
+        keys = _keys(grams)
         by = np.argsort(keys)
-        return keys[by], np.array(list(values.values()))[by]
+        self.grams = keys[by], np.log(p[1] / p[0])[by]
+        self.contexts = contexts, np.log(rest[1] / rest[0])
 
-    def word_ratios(self, words: list[str]) -> np.ndarray:
-        """log(toxic / ordinary) of each word, over its letters and its end."""
+    def _top(self, words: list[str], counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The distinct grams of the highest order as columns of letters, and how often each class has them."""
         if not words:
-            return np.zeros(0)
+            return [np.zeros(0, np.uint32) for _ in range(self.order)], [np.zeros(0), np.zeros(0)]
+        columns, ends = self._letters(words)
+        keys, first, which = np.unique(_keys([x[ends] for x in columns]), return_index=True, return_inverse=True)
+        of_word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        return [x[ends[first]] for x in columns], [np.bincount(which, counts[of_word, c], len(keys)) for c in (0, 1)]
+
+    def _letters(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Letters at each place and the order - 1 places after it, and the places where a letter or the end of a word comes last."""
         pad = EDGE * (self.order - 1)
-        text = pad.join(["", *words]) + pad
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer((pad.join(["", *words]) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(codes) - self.order + 1
-        columns = [codes[k : n + k] for k in range(self.order)]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + self.order - 1) - sizes - self.order + 1
+        ends = np.repeat(starts - (np.cumsum(sizes + 1) - sizes - 1), sizes + 1) + np.arange(int((sizes + 1).sum()))
+        return [codes[k : n + k] for k in range(self.order)], ends
+
+    def word_ratios(self, words: list[str]) -> np.ndarray:
+        """log(toxic / ordinary) of each word, over its letters and its end."""
+        if not words or not len(self.grams[0]):
+            return np.zeros(len(words))
+        columns, ends = self._letters(words)
+        columns = [x[ends] for x in columns]
         value = _found(*self.grams, _keys(columns))
         unseen = np.flatnonzero(np.isnan(value))
         value[unseen] = np.nan_to_num(_found(*self.contexts, _keys([x[unseen] for x in columns[:-1]])))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.concatenate([[0], np.cumsum(sizes + self.order - 1)[:-1]])
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        return sums[starts + sizes + 1] - sums[starts]
-
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights, -40, 40)))
-
-
-class SharedBackoff:
-    """Interpolated Kneser-Ney over both classes: lower orders count in how many contexts a gram occurs."""
-
-    def __init__(self, grams, order: int):
-        self.levels: list[tuple[Counter, Counter, Counter]] = []
-        for n in range(order, 0, -1):
-            seen = Counter(g[-n:] for g in grams)  # distinct longer grams that end so
-            total, types = Counter(), Counter()
-            for g, k in seen.items():
-                total[g[:-1]] += k
-                types[g[:-1]] += 1
-            self.levels.append((seen, total, types))
-            grams = seen.keys()
-        self.uniform = 1.0 / (len(self.levels[-1][0]) + 1) if self.levels else 1.0
-        self.memo: dict[str, float] = {"": self.uniform}
-
-    def probability(self, gram: str, discount: float = 0.75) -> float:
-        if gram not in self.memo:
-            seen, total, types = self.levels[-len(gram)]
-            n, below = total[gram[:-1]], self.probability(gram[1:] if len(gram) > 1 else "")
-            self.memo[gram] = (max(seen[gram] - discount, 0) + discount * types[gram[:-1]] * below) / n if n else below
-        return self.memo[gram]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return np.add.reduceat(value, np.cumsum(sizes) - sizes)
+
+    def arrays(self) -> bytes:
+        return pack(*self.grams, *self.contexts)
+
+    @staticmethod
+    def of_arrays(data: bytes, order: int = ORDER) -> ToxicModel:
+        model = ToxicModel.__new__(ToxicModel)
+        model.order, (a, b, c, d) = order, unpack(data)
+        model.grams, model.contexts = (a, b), (c, d)
+        return model
+
+
+def shared_backoff(grams: list[np.ndarray], discount: float = 0.75) -> np.ndarray:
+    """Interpolated Kneser-Ney of both classes together: the probability of each gram's last letter after those before it,
+    by the number of different grams one letter longer that end in it, and so on for its own end down to single letters.
+
+    grams: columns of letters, one gram for each distinct longer gram of the classes.
+    """
+    if not len(grams):
+        return np.zeros(0)
+    keys, first, which, seen = np.unique(_keys(grams), return_index=True, return_inverse=True, return_counts=True)
+    own = [x[first] for x in grams]
+    below = shared_backoff(own[1:], discount) if len(own) > 1 else np.full(len(keys), 1.0 / (len(keys) + 1))
+    _, of_gram = np.unique(_keys(own[:-1]) if len(own) > 1 else np.zeros(len(keys), np.uint64), return_inverse=True)
+    total, types = np.bincount(of_gram, seen), np.bincount(of_gram)
+    p = (np.maximum(seen - discount, 0) + discount * types[of_gram] * below) / total[of_gram] if len(keys) else below
+    return p[which]
 
 
 def _keys(columns) -> np.ndarray:
@@ -136,6 +133,8 @@ def _keys(columns) -> np.ndarray:
 
 
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), np.nan)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], np.nan)
 
@@ -195,11 +194,17 @@ def sample_of(labels: DataFrame, held_out: Column, most: int = MOST) -> tuple[Da
     return part(0).unionByName(part(1)), sizes
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST) -> ToxicModel:
-    """Count the words of the sample by class, fit the models on four fifths and the curve on the rest."""
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST) -> tuple[str | None, np.ndarray]:
+    """Count the words of the sample by class, make the models of four fifths in one task, fit the curve on the rest.
+
+    Gives the file of the model in the shared folder (None if there is nothing to learn from) and the weights of the curve;
+    the model doesn't pass the driver.
+    """
+    spark = docs.sparkSession
     sample, sizes = sample_of(labels, held_out, most)
     # at most 2 * most rows of two numbers
     chosen = staged(doc_texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]), "toxicity-sample").withColumn("fit", fold("doc_id", 5) != 0)
+    path = f"{shared_path(spark, 'toxicity')}/model"
 
     def count(batches):
         release()
@@ -211,49 +216,70 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST
             columns = list(zip(*rows)) or [()] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["word", "ordinary", "toxic"])
 
+    def fit(batches):
+        release()
+        words, counts = [], [np.zeros((0, 2))]
+        for batch in batches:
+            words += batch.column("word").to_pylist()
+            counts.append(np.stack([np.array(batch.column(k), float) for k in ("ordinary", "toxic")], 1))
+        write_file(path, [ToxicModel(words, np.concatenate(counts)).arrays()])
+        yield pa.record_batch([pa.array([len(words)], pa.int64())], ["words"])
+
     words = chosen.filter("fit").select("text", "toxic").mapInArrow(count, "word string, ordinary long, toxic long")
-    counts = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().to_pydict()
-    rows = sorted(zip(counts["word"], counts["ordinary"], counts["toxic"]))
-    model = ToxicModel(rows)
+    counted = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    # the distinct words of at most 2 * most documents, in one task
+    fitted = staged(counted.repartition(1).sortWithinPartitions("word").mapInArrow(fit, "words long"), "toxicity-fitted")
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     prior = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    if not sizes.get(0) or not sizes.get(1) or not rows:
-        model.weights = np.array([prior, 0.0, 0.0, 0.0])
-        return model
+    if not sizes.get(0) or not sizes.get(1) or fitted.isEmpty():
+        return None, np.array([prior, 0.0, 0.0, 0.0])
 
     def features(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(path)
         for batch in batches:
             x = scorer.features(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(1, 4))], ["toxic", "a", "b", "c"])
 
-    got = chosen.filter("not fit").select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow().to_pydict()
+    rest = chosen.filter("not fit")
+    if rest.select("toxic").distinct().count() < 2:  # too few documents for that: the curve is fitted where the models are
+        rest = chosen
+    got = rest.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow().to_pydict()
     y = np.array(got["toxic"], float)
     if len(set(got["toxic"])) < 2:
-        model.weights = np.array([prior - 6.0, 0.0, 0.5, 0.5])  # too few to fit a curve: the mixture decides
-        return model
+        return None, np.array([prior, 0.0, 0.0, 0.0])
     x = np.stack([np.ones(len(y)), *(np.array(got[k]) for k in "abc")], 1)
     order = np.lexsort((*x.T, y))
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
-    model.weights = _logistic(x[order], y[order], (weight * len(y) / weight.sum())[order])
-    return model
+    return path, _logistic(x[order], y[order], (weight * len(y) / weight.sum())[order])
+
 
+def scorer_of(path: str) -> Scorer:
+    def make():
+        file = open_file(path)
+        try:
+            return Scorer(ToxicModel.of_arrays(file.read()))
+        finally:
+            file.close()
 
-def scored(rows: DataFrame, model: ToxicModel, column: str) -> DataFrame:
+    return held(("toxicity", path), make)
+
+
+def scored(rows: DataFrame, model: tuple[str | None, np.ndarray], column: str) -> DataFrame:
     """rows with a column more: the score of `text`. All columns pass; nothing is shuffled."""
     schema = T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())])
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
     at = rows.columns.index("text")
+    path, weights = model
+    if path is None:
+        return rows.withColumn(column, F.lit(float(1 / (1 + np.exp(-np.clip(weights[0], -40, 40))))))
 
     def run(batches):
-        release()
-        gc.disable()
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(path)
         for batch in batches:
-            score = shared.value.score(scorer.features([x or "" for x in batch.column(at).to_pylist()]))
+            x = scorer.features([x or "" for x in batch.column(at).to_pylist()])
+            score = 1 / (1 + np.exp(-np.clip(x @ weights, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, column])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(without_gc(run), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
