@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -22,7 +23,24 @@ def test_same_ids_as_tiktoken_on_odd_texts():
     codec, other = ByteBpe(load_ranks(PATH), public_tokenizers.PATTERN), expected()
     for text, ids in zip(texts, codec.encode(texts)):
         assert ids.tolist() == other.encode_ordinary(text), text
-        assert codec.decoder.decode(ids) == (text.encode(), True)
+        assert b"".join(codec.decoder.decode(ids, 7)) == text.encode() and codec.decoder.valid
+
+
+def test_decoder_holds_open_characters_and_passes_faults():
+    codec = ByteBpe(load_ranks(PATH), public_tokenizers.PATTERN)
+    random.seed(6)
+    for _ in range(300):
+        data = bytes(random.choices(b"ab\xe4\xb8\xad\xf0\x9f\x98\x80\xc3\xa9\xff", k=random.randint(0, 12)))
+        ids = np.array(codec.fst.encode(data), np.int64)
+        parts = list(codec.decoder.decode(ids, 1))
+        try:
+            data.decode()
+            valid = True
+        except UnicodeDecodeError:
+            valid = False
+        assert b"".join(parts) == data and codec.decoder.valid == valid
+        if valid:
+            assert "".join(x.decode() for x in parts) == data.decode()  # no part ends within a character
 
 
 def test_utf8_stream_holds_open_characters_and_refuses_faults():

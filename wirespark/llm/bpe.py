@@ -4,7 +4,8 @@ Encoder. A token sequence is the BPE encoding of a byte string just when each tw
 (merge tables that build every token from earlier ones have this property). The non-deterministic transducer therefore
 has configurations (last token and tokens not yet emitted, bytes read since: a proper prefix of some token); it is
 determinised lazily, a set of configurations being one state, and what all configurations of a state agree on is
-emitted, after a lookahead bounded by the longest token. States and transitions are kept in a bounded memo.
+emitted: at once where one configuration is left, and every LOOKAHEAD bytes what the chains of all of them share. What
+is held back is bounded by that and a few longest tokens. States and transitions are kept in a bounded memo.
 
 Decoder. Token bytes pass an incremental UTF-8 state machine whose state is carried from token to token, so text comes
 out as soon as its last byte is there and sequences cut at any id can be resumed.
@@ -29,6 +30,10 @@ from wirespark.llm.chunks import ChunkEncoder
 from wirespark.llm.common import doc_texts, held, table, without_gc
 
 
+#: Bytes after which the chains of several configurations are compared.
+LOOKAHEAD = 64
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -54,6 +59,7 @@ class BpeTransducer:
         self.states: dict[tuple, int] = {}
         self.configs: list[tuple] = []
         self.ends: list[int] = []
+        self.one: list[bool] = []
         self.moves: dict[int, int] = {}
         self._state(((-1, b""),))
 
@@ -63,6 +69,7 @@ class BpeTransducer:
             number = self.states[configs] = len(self.configs)
             self.configs.append(configs)
             self.ends.append(configs[-1][0])
+            self.one.append(len(configs) == 1)
         return number
 
     def merge(self, data: bytes, leave: int = 1) -> list[int]:
@@ -130,44 +137,40 @@ class BpeTransducer:
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        if len(data) > 4096:
-            return [x for part in self.stream(data[i : i + 4096] for i in range(0, len(data), 4096)) for x in part]
-        if len(self.configs) > self.most_states:
-            self._reset()
-        if len(self.fits) > 8 * self.most_states:
-            self.fits.clear()
-        state, trail, moves = 0, [], self.moves
-        for byte in data:
-            found = moves.get(state << 8 | byte)
-            state = self._move(state, byte) if found is None else found
-            trail.append(state)
-        at, ends, size, out = len(trail), self.ends, self.size, []
-        while at > 0:
-            token = ends[trail[at - 1]]
-            out.append(token)
-            at -= size[token]
-        return out[::-1]
+        return [x for part in self.stream((data,)) for x in part]
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
-        """Tokens as soon as no later byte can change them; the bytes held back are bounded by a few longest tokens."""
+        """Tokens as soon as no later byte can change them."""
+        if len(self.fits) > 8 * self.most_states:
+            self.fits.clear()
         state, held = 0, []
         for data in parts:
+            moves, ends, one = self.moves, self.ends, self.one
             for byte in data:
-                found = self.moves.get(state << 8 | byte)
+                found = moves.get(state << 8 | byte)
                 state = self._move(state, byte) if found is None else found
-                held.append(self.ends[state])
-            chains = [self._back(held, len(held) - len(pending)) for _, pending in self.configs[state]]
-            shared = min(map(len, chains))
-            while any(chain[:shared] != chains[0][:shared] for chain in chains):
-                shared -= 1
-            sure = chains[0][:shared]
-            del held[: sum(self.size[x] for x in sure)]
-            yield sure
+                held.append(ends[state])
+                if one[state]:
+                    yield self._back(held, len(held))
+                    held = []
+                elif len(held) % LOOKAHEAD == 0:
+                    yield self._agreed(held, state)
             if len(self.configs) > self.most_states:
                 here = self.configs[state]
                 self._reset()
                 state = self._state(here)
-        yield self._back(held, len(held))
+        if held:
+            yield self._back(held, len(held))
+
+    def _agreed(self, held: list[int], state: int) -> list[int]:
+        """The tokens that all configurations share; their bytes are no longer held."""
+        chains = [self._back(held, len(held) - len(pending)) for _, pending in self.configs[state]]
+        shared = min(map(len, chains))
+        while any(chain[:shared] != chains[0][:shared] for chain in chains):
+            shared -= 1
+        sure = chains[0][:shared]
+        del held[: sum(self.size[x] for x in sure)]
+        return sure
 
 
 def _utf8_table() -> np.ndarray:
@@ -208,13 +211,21 @@ class Utf8Stream:
 
 
 class TokenDecoder:
-    """Ids to bytes; tokens are looked up by their effect on the UTF-8 state, and only those that split characters are walked."""
+    """Ids to bytes, a part at a time: feed() gives the bytes of all characters that are complete, close() what is left.
+
+    The state of the UTF-8 machine is carried from token to token; tokens that leave it between characters are known
+    beforehand, so only those that split characters are walked. Bytes that are no UTF-8 pass as they are.
+    """
 
     def __init__(self, token_bytes: dict[int, bytes]):
         size = max(token_bytes, default=-1) + 1
         self.table = [token_bytes.get(i, b"") for i in range(size)]
         self.whole = np.array([self._run(0, b) == 0 for b in self.table], bool)
         self.steps: dict[tuple[int, int], int] = {}
+        self.start()
+
+    def start(self) -> None:
+        self.state, self.held, self.valid = 0, b"", True
 
     @staticmethod
     def _run(state: int, data: bytes) -> int:
@@ -222,29 +233,39 @@ class TokenDecoder:
             state = int(UTF8_NEXT[state, byte])
         return state
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
-        """The bytes, and whether they are UTF-8."""
-        data = b"".join(map(self.table.__getitem__, ids.tolist()))
-        state = 0
-        for i in np.flatnonzero(~self.whole[ids]):  # all others keep state 0; state is 0 before the first of a run
-            token = int(ids[i])
-            if (state, token) not in self.steps:
-                self.steps[state, token] = self._run(state, self.table[token])
-            state = self.steps[state, token]
-        ok = state == 0
-        if ok and not self.whole[ids].all():
-            ok = self._runs_close(ids)
-        return data, ok
-
-    def _runs_close(self, ids: np.ndarray) -> bool:
-        """A whole token between parts of a character is a fault: each run of partial tokens must close by itself."""
-        partial = np.flatnonzero(~self.whole[ids])
-        state, last = 0, -2
-        for i in partial:
+    def feed(self, ids: np.ndarray) -> bytes:
+        data = self.held + b"".join(map(self.table.__getitem__, ids.tolist()))
+        state, last = self.state, -1
+        for i in np.flatnonzero(~self.whole[ids]).tolist():  # all others keep state 0, and are a fault in any other
             if i != last + 1 and state:
-                return False
-            state, last = self.steps.get((state, int(ids[i])), FAULT) if (state, int(ids[i])) in self.steps else self._run(state, self.table[int(ids[i])]), i
-        return state == 0
+                state, self.valid = 0, False
+            key = state, int(ids[i])
+            if key not in self.steps:
+                self.steps[key] = self._run(state, self.table[key[1]])
+            state, last = self.steps[key], i
+            if state == FAULT:
+                state, self.valid = 0, False
+        if state and last != len(ids) - 1:
+            state, self.valid = 0, False
+        cut = len(data)
+        if state:  # a character is open: hold it back from its first byte on
+            while data[cut - 1] & 0xC0 == 0x80:
+                cut -= 1
+            cut -= 1
+        self.state, self.held = state, data[cut:]
+        return data[:cut]
+
+    def close(self) -> bytes:
+        self.valid = self.valid and self.state == 0
+        rest, self.state, self.held = self.held, 0, b""
+        return rest
+
+    def decode(self, ids: np.ndarray, group: int = 1 << 14) -> Iterator[bytes]:
+        """The bytes, as they become complete; afterwards `valid` tells whether they are UTF-8."""
+        self.start()
+        for at in range(0, len(ids), group):
+            yield self.feed(ids[at : at + group])
+        yield self.close()
 
 
 class ByteBpe:
@@ -302,8 +323,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             texts = []
             for code in batch.column("ids").to_pylist():
-                data, ok = codec.decoder.decode(np.frombuffer(code or b"", codec.wide))
-                texts.append(data.decode() if ok else None)
+                data = b"".join(codec.decoder.decode(np.frombuffer(code or b"", codec.wide)))
+                texts.append(data.decode() if codec.decoder.valid else None)
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -320,9 +341,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for ids in codec.encode(batch.column("text").to_pylist()):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                data, ok = codec.decoder.decode(ids)
-                text_sha.append(hashlib.sha256(data).hexdigest())
-                valid.append(ok)
+                sha = hashlib.sha256()
+                for data in codec.decoder.decode(ids):
+                    sha.update(data)
+                text_sha.append(sha.hexdigest())
+                valid.append(codec.decoder.valid)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(valid, pa.bool_())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"],
