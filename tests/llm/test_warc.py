@@ -2,9 +2,10 @@ import gzip
 import random
 import zlib
 
+import pytest
 from pyspark.sql.datasource import EqualTo, In
 
-from wirespark.llm.warc import WarcReader, crc_joined, digest, op2_warc, read_archives, records, write_archives
+from wirespark.llm.warc import WarcReader, crc_joined, digest, op2_warc, read_archives, records, records_of, write_archives
 
 SCHEMA = "page_id long, url string, html string, type string"
 
@@ -56,3 +57,34 @@ def test_archives_are_gzip_and_push_down_skips(spark, tmp_path):
     assert [r.column("page_id").to_pylist() for p in reader.partitions() for r in reader.read(p)] == [[203]]
     assert full.filter("type in ('revisit', 'other')").count() == sum(r[3] == "revisit" for r in expected(rows(), 30))
     assert all(r["payload"] is None for f in files for r in records(str(f), {"type": {"response"}}, False))
+
+
+def foreign(kind, number, block):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:uuid:{number}>\r\nWARC-Target-URI:  http://f/{number}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    blocks = [b"software: x\r\n", b"HTTP/1.1 200 OK\r\n\r\n<p>" + b"long " * 400_000, b"", b"\r\n\r\nodd\r\n\r\n"]
+    whole = [foreign(k, i, x) for i, (k, x) in enumerate(zip(("warcinfo", "response", "request", "response"), blocks))]
+    folder = tmp_path / "f"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, whole)))
+    (folder / "b.warc.gz").write_bytes(gzip.compress(b"".join(whole)))
+    (folder / "c.warc").write_bytes(b"".join(whole))
+    back = read_archives(spark, f"file://{folder}", verify=True)
+    got = sorted((r.record_id, r.type, r.uri, bytes(r.payload), r.page_id) for r in back.collect())
+    assert got == sorted((f"urn:uuid:{i}", k, f"http://f/{i}", x, None) for i, (k, x) in enumerate(zip(("warcinfo", "response", "request", "response"), blocks)) for _ in range(3))
+    assert back.filter("type = 'request'").count() == 3
+    (folder / "d.warc").write_bytes(b"no archive\r\n\r\n")
+    with pytest.raises(ValueError):
+        list(records(str(folder / "d.warc"), {}, True))
+    (folder / "e.warc.gz").write_bytes(gzip.compress(whole[1])[:-2000])
+    with pytest.raises(ValueError):
+        list(records(str(folder / "e.warc.gz"), {}, True))
+
+
+def test_very_frequent_payloads(spark):
+    pages = spark.createDataFrame([(i, "u", "same" if i % 3 else str(i)) for i in range(300)], "page_id long, url string, html string")
+    got = {r.page_id: (r.kind, r.refers_to) for r in records_of(pages, hot_pages=50).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(300)}
