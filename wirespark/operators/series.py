@@ -6,10 +6,17 @@ wants; with it (by protocol, by host) the same statistic runs in parallel per ke
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, Z_LIMIT, LEAST, DECAY, FENCE = 1000, 3.0, 100, 0.1, 1.5
+#: Rows of a series that one task takes at a time, about; long series are cut.
+PIECE = 20_000
 
 
 def _over(partition, order):
@@ -35,63 +42,153 @@ def contributions(scored: DataFrame, features: list[str]) -> Column:
     return F.transform(F.array_sort(each, lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["feature"] < b["feature"], -1).otherwise(1)), lambda x: F.struct(x["feature"].alias("feature"), x["z"].alias("z")))
 
 
-def quartile_fence(samples: DataFrame, features: list[str], order: list[str], partition=None, window: int = WINDOW, fence: float = FENCE) -> DataFrame:
+def _by_pieces(samples: DataFrame, order: list[str], partition: list[str] | None, before: int, run: Callable, added: str, piece: int) -> DataFrame:
+    """samples with columns more, by run(columns, n of the first row, first own row) -> lists for the own rows.
+
+    A series is cut into pieces of `piece` rows, each with the `before` rows ahead of it, so that a task's share is
+    bounded however long a series is. Each row goes to two pieces at most.
+    """
+    piece = max(piece, before)
+    n = F.row_number().over(_over(partition, order)) - 1
+    own = F.floor(F.col("_n") / piece)
+    rows = samples.withColumn("_n", n).withColumn("_piece", F.explode(F.when(F.col("_n") % piece >= piece - before, F.array(own, own + 1)).otherwise(F.array(own))))
+    names = samples.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields), added])
+
+    def of_piece(key, group):
+        group = group.sort_by("_n")
+        numbers = group.column("_n").to_pylist()
+        first = bisect_left(numbers, key[-1].as_py() * piece)
+        out = group.select(names).slice(first)
+        for name, values, kind in run(group, numbers[0] if numbers else 0, first):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    return rows.groupBy(*(partition or []), "_piece").applyInArrow(of_piece, schema)
+
+
+class Frame:
+    """The last `window` values of a series, in order of size; nulls take a place in the series but not here."""
+
+    def __init__(self, window: int):
+        self.window, self.seen, self.sorted = window, [], []
+
+    def add(self, x: float | None) -> None:
+        self.seen.append(x)
+        if x is not None:
+            insort(self.sorted, x)
+        old = self.seen[-self.window - 1] if len(self.seen) > self.window else None
+        if old is not None:
+            del self.sorted[bisect_left(self.sorted, old)]
+
+    def quantile(self, p: float) -> float | None:
+        """Linear on (n - 1) p."""
+        if not self.sorted:
+            return None
+        at = (len(self.sorted) - 1) * p
+        low = math.floor(at)
+        a, b = self.sorted[low], self.sorted[min(low + 1, len(self.sorted) - 1)]
+        return a + (b - a) * (at - low)
+
+    def _nearest(self, middle: float, k: int) -> float:
+        """The k-th smallest distance to `middle`: the k nearest values stand side by side."""
+        s, low, high = self.sorted, 0, len(self.sorted) - k
+        while low < high:
+            i = (low + high) // 2
+            if middle - s[i] > s[i + k - 1] - middle:
+                low = i + 1
+            else:
+                high = i
+        return min(max(middle - s[i], s[i + k - 1] - middle) for i in (low, low - 1) if i >= 0)
+
+    def deviation(self) -> tuple[float, float]:
+        """Median, and median distance to it."""
+        s, n = self.sorted, len(self.sorted)
+        if not n:
+            return 0.0, 0.0
+        middle = (s[(n - 1) // 2] + s[n // 2]) / 2.0
+        return middle, (self._nearest(middle, (n + 1) // 2) + self._nearest(middle, n // 2 + 1)) / 2.0
+
+
+def _values(group, name: str) -> list[float | None]:
+    return [None if x is None else float(x) for x in group.column(name).to_pylist()]
+
+
+def quartile_fence(samples: DataFrame, features: list[str], order: list[str], partition=None, window: int = WINDOW, fence: float = FENCE, piece: int = PIECE) -> DataFrame:
     """Outliers against the quartiles of the last `window` rows; an anomaly if more than a third (whole division) of the features are."""
-    w = _over(partition, order).rowsBetween(-(window - 1), 0)
-    votes = F.lit(0)
-    for name in features:
-        low, high = F.percentile(name, F.lit(0.25)).over(w), F.percentile(name, F.lit(0.75)).over(w)
-        out = (F.col(name) < low - fence * (high - low)) | (F.col(name) > high + fence * (high - low))
-        votes = votes + F.when(out, 1).otherwise(0)
-    return samples.withColumn("outliers", votes).withColumn("is_anomaly", F.col("outliers") > len(features) // 3)
 
+    def run(group, _, first):
+        votes = [0] * (group.num_rows - first)
+        for name in features:
+            frame = Frame(window)
+            for i, x in enumerate(_values(group, name)):
+                frame.add(x)
+                if i >= first and x is not None:
+                    low, high = frame.quantile(0.25), frame.quantile(0.75)
+                    votes[i - first] += x < low - fence * (high - low) or x > high + fence * (high - low)
+        return [("outliers", votes, pa.int32()), ("is_anomaly", [v > len(features) // 3 for v in votes], pa.bool_())]
 
-def median_deviation(samples: DataFrame, features: list[str], order: list[str], partition=None, window: int = WINDOW, limit: float = Z_LIMIT) -> DataFrame:
-    """Modified z 0.6745 (x - median) / MAD over the last `window` rows; score: root mean square. The window's values travel as one array."""
-    w = _over(partition, order).rowsBetween(-(window - 1), 0)
+    return _by_pieces(samples, order, partition, window - 1, run, "outliers int, is_anomaly boolean", piece)
 
-    def middle(a: Column) -> Column:
-        s, n = F.array_sort(a), F.size(a)
-        return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2.0
 
-    out = samples
-    for name in features:
-        out = out.withColumn("_w", F.collect_list(F.col(name).cast("double")).over(w)).withColumn("_m", middle(F.col("_w")))
-        out = out.withColumn("_d", middle(F.transform("_w", lambda x: F.abs(x - F.col("_m")))))
-        out = out.withColumn(f"m_{name}", F.when(F.col("_d") > 0, 0.6745 * (F.col(name) - F.col("_m")) / F.col("_d")).otherwise(0.0)).drop("_w", "_m", "_d")
-    total = sum((F.col(f"m_{n}") * F.col(f"m_{n}") for n in features), F.lit(0.0))
-    return out.withColumn("score", F.sqrt(total / len(features))).withColumn("is_anomaly", F.col("score") > limit)
+def median_deviation(samples: DataFrame, features: list[str], order: list[str], partition=None, window: int = WINDOW, limit: float = Z_LIMIT, piece: int = PIECE) -> DataFrame:
+    """Modified z 0.6745 (x - median) / MAD over the last `window` rows; score: root mean square (null where a value is)."""
+
+    def run(group, _, first):
+        out, totals = [], [0.0] * (group.num_rows - first)
+        for name in features:
+            frame, z = Frame(window), []
+            for i, x in enumerate(_values(group, name)):
+                frame.add(x)
+                if i >= first:
+                    middle, spread = frame.deviation()
+                    z.append(0.0 if not spread > 0 else None if x is None else 0.6745 * (x - middle) / spread)
+            out.append((f"m_{name}", z, pa.float64()))
+            totals = [None if t is None or v is None else t + v * v for t, v in zip(totals, z)]
+        score = [None if t is None else math.sqrt(t / len(features)) for t in totals]
+        return [*out, ("score", score, pa.float64()), ("is_anomaly", [None if x is None else x > limit for x in score], pa.bool_())]
+
+    added = ", ".join([*(f"m_{n} double" for n in features), "score double", "is_anomaly boolean"])
+    return _by_pieces(samples, order, partition, window - 1, run, added, piece)
+
 
+def forgotten_after(alpha: float) -> int:
+    """Rows after which an exponential mean holds less than 1e-18 of what was before: below the precision of doubles."""
+    return math.ceil(math.log(1e-18) / math.log(1 - alpha)) if alpha < 1 else 1
 
-def moving_average(samples: DataFrame, value: str, order: list[str], partition: list[str], alpha: float = DECAY, least: int = 10, limit: float = Z_LIMIT) -> DataFrame:
-    """Exponential mean and variance of each key's series, and whether a value is far from what came before."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema.fields) + ", ema double, em_var double, is_anomaly boolean"
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(order, kind="stable")
+def moving_average(samples: DataFrame, value: str, order: list[str], partition: list[str], alpha: float = DECAY, least: int = 10, limit: float = Z_LIMIT, piece: int = PIECE) -> DataFrame:
+    """Exponential mean and variance of each key's series, and whether a value is far from what came before.
+
+    Pieces of a long series begin far enough ahead of their first row for nothing of the rows before to be left.
+    """
+
+    def run(group, start, first):
         mean = var = 0.0
         means, variances, odd = [], [], []
-        for n, x in enumerate(pdf[value].astype(float)):
+        for n, x in enumerate(_values(group, value)):
             spread = var**0.5
-            odd.append(bool(n >= least and spread > 0 and abs(x - mean) / spread > limit))
+            odd.append(x is not None and start + n >= least and spread > 0 and abs(x - mean) / spread > limit)
             if n == 0:
-                mean = x
-            else:
+                mean = x or 0.0
+            elif x is not None:
                 delta = x - mean
                 mean += alpha * delta
                 var = (1 - alpha) * (var + alpha * delta * delta)
             means.append(mean)
             variances.append(var)
-        return pdf.assign(ema=means, em_var=variances, is_anomaly=odd)
+        return [("ema", means[first:], pa.float64()), ("em_var", variances[first:], pa.float64()), ("is_anomaly", odd[first:], pa.bool_())]
 
-    return samples.groupBy(*partition).applyInPandas(run, schema)
+    return _by_pieces(samples, order, partition, forgotten_after(alpha), run, "ema double, em_var double, is_anomaly boolean", piece)
 
 
-def moving_average_sql(values: Column, alpha: float = DECAY) -> Column:
-    """The exponential mean at the end of an ordered array, by a fold."""
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n"))
-    step = lambda a, x: F.struct(F.when(a["n"] == 0, x).otherwise(a["m"] + alpha * (x - a["m"])).alias("m"), (a["n"] + 1).alias("n"))
-    return F.aggregate(values, start, step, lambda a: a["m"])
+def last_average(samples: DataFrame, value: str, order: list[str], partition: list[str], alpha: float = DECAY) -> DataFrame:
+    """The exponential mean at the end of each key's series, as a weighted sum: combined before the shuffle's end, no series is gathered."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    back = F.count("*").over(Window.partitionBy(*partition)) - F.row_number().over(w)  # rows after this one
+    first = F.row_number().over(w) == 1
+    weight = F.pow(F.lit(1.0 - alpha), back) * F.when(first, 1.0).otherwise(alpha)
+    return samples.withColumn("_w", weight).groupBy(*partition).agg(F.sum(F.col("_w") * F.col(value)).alias("ema"))
 
 
 def seasonal(samples: DataFrame, value: str, order: str, period: int, partition: list[str] | None = None) -> DataFrame:

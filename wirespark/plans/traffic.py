@@ -477,8 +477,7 @@ def _(spark, d):
 
 @query("win_ema", f"""{P}, l AS (SELECT src_ip, list(CAST(length AS DOUBLE) ORDER BY packet_id) AS v FROM packets GROUP BY 1) SELECT src_ip, round(list_reduce(v, lambda a, x: a + 0.1::DOUBLE * (x - a)), 6) AS ema FROM l""")
 def _(spark, d):
-    by = packets(spark, d).groupBy("src_ip").agg(F.array_sort(F.collect_list(F.struct("packet_id", "length"))).alias("x"))
-    return by.select("src_ip", r(series.moving_average_sql(F.transform("x", lambda e: e["length"].cast("double"))), "ema"))
+    return series.last_average(packets(spark, d), "length", ["packet_id"], ["src_ip"]).select("src_ip", r("ema"))
 
 
 @query("win_ewma")
