@@ -29,7 +29,8 @@ def column(parse, kind: str, struct: bool | None = None):
     def values(x: pd.Series) -> list:
         return [None if v is None else parse(bytes(v) if isinstance(v, (bytes, bytearray, memoryview)) else v) for v in x]
 
-    def of(value: Column | str) -> Column:
+    def udf():
+        """The function for spark.udf.register."""
         if struct:
             names = field_names(kind)
 
@@ -44,6 +45,10 @@ def column(parse, kind: str, struct: bool | None = None):
             def run(x: pd.Series) -> pd.Series:
                 return pd.Series(values(x), dtype=object)
 
-        return run(value)
+        return run
+
+    def of(value: Column | str) -> Column:
+        return udf()(value)
 
+    of.udf = udf
     return of

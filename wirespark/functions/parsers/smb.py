@@ -5,6 +5,10 @@ from __future__ import annotations
 import struct
 from decimal import Decimal
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from wirespark.dims import mapped
 from wirespark.functions.parsers import column
 from wirespark.schemas import SMB_HEADER
 
@@ -19,6 +23,18 @@ def command_name(n: int) -> str:
     return COMMANDS.get(n, f"UNKNOWN({n})")
 
 
+def _named(code: Column, names: dict[int, str]) -> Column:
+    return mapped(code.cast("int"), names, F.concat(F.lit("Unknown (0x"), F.lpad(F.hex(code.cast("long")), 4, "0"), F.lit(")")))
+
+
+def dialect_name(code: Column) -> Column:
+    return _named(code, {k: v for k, v in DIALECTS.items() if k != 0x02FF})
+
+
+def cipher_name(code: Column) -> Column:
+    return _named(code, CIPHERS)
+
+
 def unframed(data: bytes) -> bytes:
     """Without the 4 bytes of the session service."""
     return data[4:] if len(data) > 4 and data[0] == 0 and data[4:5] in (b"\xfe", b"\xfd", b"\xff") else data

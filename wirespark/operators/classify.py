@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +80,49 @@ def classified_2(flows: DataFrame, payload_entropy: str = "payload_entropy") ->
     return flows.withColumn("c", c).select("*", "c.application", "c.category", "c.confidence").drop("c")
 
 
-def threats(flows: DataFrame) -> DataFrame:
-    """Flows with is_threat, threat_type, severity, confidence, indicators, description; later rules outrank earlier ones, indicators gather."""
+class Indicator(NamedTuple):
+    """A sign of remote control: a condition on a flow's columns."""
+
+    name: str
+    kind: str
+    condition: Column
+    description: str
+    severity: str = "high"
+    confidence: float = 0.7
+
+
+def built_in() -> list[Indicator]:
+    d = F.col("dst_port")
+    return [
+        Indicator("dns_tunneling", "exfiltration", (d == 53) & (F.col("bytes") > 10_000), "Potential DNS tunneling detected"),
+        Indicator("admin_share_access", "lateral_movement", d == 445, "Admin share access detected"),
+    ]
+
+
+def threats(flows: DataFrame, more: list[Indicator] = ()) -> DataFrame:
+    """Flows with is_threat, threat_type, severity, confidence, indicators, description; later rules outrank earlier ones, indicators gather.
+
+    more: indicators of one's own, after the built-in ones.
+    """
     d = F.col("dst_port")
     label = mapped(d.cast("int"), BAD_PORTS)
-    bad, tunnel, share = label.isNotNull(), (d == 53) & (F.col("bytes") > 10_000), d == 445
-    found = F.array_compact(F.array(F.when(bad, F.concat(F.lit("port_"), d.cast("string"), F.lit("_"), label)), F.when(tunnel, "dns_tunneling"), F.when(share, "admin_share_access")))
-    pick = lambda a, b, c, none: F.when(share, a).when(tunnel, b).when(bad, c).otherwise(none)
+    bad, rules = label.isNotNull(), [x._replace(condition=F.coalesce(x.condition, F.lit(False))) for x in (*built_in(), *more)]
     text = F.concat(F.lit("Connection to known suspicious port "), d.cast("string"), F.lit(" ("), label, F.lit(")"))
+    found = F.array_compact(F.array(F.when(bad, F.concat(F.lit("port_"), d.cast("string"), F.lit("_"), label)), *(F.when(x.condition, x.name) for x in rules)))
+    any_, kind, severity, confidence, description = bad, F.when(bad, "suspicious_port").otherwise(""), F.when(bad, "medium").otherwise(""), F.when(bad, 0.6).otherwise(0.0), F.when(bad, text).otherwise("")
+    for x in rules:
+        any_ = any_ | x.condition
+        pick = lambda value, before, x=x: F.when(x.condition, F.lit(value)).otherwise(before)
+        kind, severity, confidence, description = pick(x.kind, kind), pick(x.severity, severity), pick(x.confidence, confidence), pick(x.description, description)
     return flows.select(
-        "*", (bad | tunnel | share).alias("is_threat"), pick(F.lit("lateral_movement"), F.lit("exfiltration"), F.lit("suspicious_port"), F.lit("")).alias("threat_type"),
-        pick(F.lit("high"), F.lit("high"), F.lit("medium"), F.lit("")).alias("severity"), pick(F.lit(0.7), F.lit(0.7), F.lit(0.6), F.lit(0.0)).alias("confidence"), found.alias("indicators"),
-        pick(F.lit("Admin share access detected"), F.lit("Potential DNS tunneling detected"), text, F.lit("")).alias("description"),
-    )
+        "*", any_.alias("is_threat"), kind.alias("threat_type"), severity.alias("severity"), confidence.alias("confidence"), found.alias("indicators"), description.alias("description")
+    )
+
+
+def top_predictions(probabilities: str, n: int = 3) -> Column:
+    """Places of the n largest, the first of equal ones first."""
+    ranked = F.array_sort(F.transform(probabilities, lambda v, i: F.struct((-v).alias("p"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, n), lambda r: r["i"])
 
 
 def payload_threats(payload: str = "payload") -> Column:

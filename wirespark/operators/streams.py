@@ -80,8 +80,11 @@ def stream_stats(streams: DataFrame) -> DataFrame:
 LEAST_FILE, MOST_FILE, MOST_A_STREAM = 100, 100 << 20, 100
 
 
-def carve(data: bytes, best_only: bool = False, signatures=CARVING) -> list[dict]:
-    """Every place where a signature's header stands: to its first footer, or as far as it may go. best_only: one for each place."""
+def carve(data: bytes, best_only: bool = False, signatures=CARVING, most: int = MOST_A_STREAM) -> list[dict]:
+    """Every place where a signature's header stands: to its first footer, or as far as it may go. best_only: one for each place.
+
+    In the order of their places; the first `most` (the application's limit for a stream).
+    """
     out, taken = [], set()
     for extension, mime, head, foot, mib, category, dangerous in signatures:
         header, footer = bytes.fromhex(head), bytes.fromhex(foot)
@@ -102,18 +105,30 @@ def carve(data: bytes, best_only: bool = False, signatures=CARVING) -> list[dict
                     "threat": mime in DANGEROUS_MIMES or any(m in text for m in SCRIPT_MARKERS), "file_name": f"carved_{at}_{sha[:16]}{extension}",
                 })
             at = data.find(header, at + 1)
-    return out[:MOST_A_STREAM]
+    return sorted(out, key=lambda x: x["start"])[:most]
 
 
-def carved(rows: DataFrame, data: str, best_only: bool = False) -> DataFrame:
-    """rows without data, one for each file found in it (metadata only)."""
+def carved(rows: DataFrame, data: str, best_only: bool = False, signatures=CARVING, most: int = MOST_A_STREAM) -> DataFrame:
+    """rows without data, one for each file found in it (metadata only). signatures: rows like those of dims.CARVING, perhaps one's own."""
     from wirespark.functions.parsers import array_of, column
     from wirespark.schemas import CARVED_FILE
 
-    find = column(lambda b: carve(b, best_only), array_of(CARVED_FILE))
+    find = column(lambda b: carve(b, best_only, signatures, most), array_of(CARVED_FILE))
     return rows.withColumn("f", F.explode(find(data))).drop(data).select("*", "f.*").drop("f")
 
 
+def file_rows(files: DataFrame) -> DataFrame:
+    """Carved files as the interface lists them (its sha1 is the SHA-256). files: what carved() gives, with flow_id and ts_nano."""
+    return files.select(
+        F.concat_ws("-", "flow_id", "start").alias("id"), F.col("file_name").alias("name"), "size", F.col("mime").alias("mime_type"), "md5", F.col("sha256").alias("sha1"), "sha256", "ts_nano", "flow_id"
+    )
+
+
+def with_expired(files: DataFrame, now_nano: int, most_age_nano: int, time: str = "ts_nano") -> DataFrame:
+    """files with `expired`: older than the age, which a clean-up removes."""
+    return files.withColumn("expired", F.col(time) < F.lit(now_nano - most_age_nano))
+
+
 def carver_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if("threat").alias("threats"))
 

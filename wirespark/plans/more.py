@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wirespark.functions import content, encoding, pii
+from wirespark.dims import BAD_PORTS, sql_case
+from wirespark.functions import content, encoding, pii, sql
 from wirespark.functions.parsers import array_of, column, dns, hpack, http, smb, tls
 from wirespark.operators import anomaly, classify, filters, streams, traffic
 from wirespark.plans import build
@@ -13,6 +14,7 @@ from wirespark.plans.network import _DIMS, _chunks, _credentials, _dicts, _point
 from wirespark.plans.packets import SQL_PACKETS, packets
 from wirespark.plans.registry import query
 from wirespark.plans.text import NAMES, docs, names, shares
+from wirespark.plans.traffic import FLOWS
 from wirespark.sources import sinks
 from wirespark.sources.files import scratch
 
@@ -156,7 +158,12 @@ def _(spark, d):
 # ---- classification
 
 
-@query("top3_pred", "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(1, 6), lambda i: {'p': -CAST(embedding[i] AS DOUBLE), 'i': i})), lambda x: x.i - 1)[1:3], ',') AS labels FROM embeddings")
+@query("top3_pred", "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(1, len(embedding) + 1), lambda i: {'p': -CAST(embedding[i] AS DOUBLE), 'i': i})), lambda x: x.i - 1)[1:3], ',') AS labels FROM embeddings")
+def _(spark, d):
+    p = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
+    return p.select("vec_id", F.array_join(F.transform(classify.top_predictions("p"), lambda i: i.cast("string")), ",").alias("labels"))
+
+
 def _(spark, d):
     p = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 5).alias("p"))
     ranked = F.array_sort(F.transform("p", lambda v, i: F.struct((-v).alias("p"), i.alias("i"))))
@@ -192,7 +199,13 @@ def _(spark, d):
     return n.select("page_id", column(lambda b: dns.name_at(b, 12)[0], "string")("m").alias("name"))
 
 
-@query("prs_dns_rr", "SELECT page_id, 300::BIGINT AS ttl FROM pages")
+@query("prs_dns_rr", f"{NAMES} SELECT page_id, page_id * 7 % 86400 AS ttl, concat('10.', page_id % 256, '.1.', page_id % 200) AS data FROM names")
+def _(spark, d):
+    made = build.made(lambda x, n: build.dns_answer(x, f"10.{n % 256}.1.{n % 200}", int(n) * 7 % 86400), "name", "page_id")
+    n = names(spark, d).withColumn("r", F.explode(dns.parsed(made)))
+    return n.select("page_id", F.col("r.answers")[0]["ttl"].alias("ttl"), F.col("r.answers")[0]["data"].alias("data"))
+
+
 def _(spark, d):
     n = names(spark, d).withColumn("r", F.explode(dns.parsed(build.made(lambda x: build.dns_answer(x, "1.2.3.4"), "name"))))
     return n.select("page_id", F.col("r.answers")[0]["ttl"].alias("ttl"))
@@ -212,54 +225,29 @@ def _(spark, d):
     return p.select("page_id", column(lambda x: http.file_name(x, {}), "string")("path").alias("name"))
 
 
-_H3 = "kind string, headers map<string,string>, size int"
-_H3_BLOCK = bytes.fromhex("0000510b2f696e6465782e68746d6c") + bytes.fromhex("d1d7") + b"\x50\x01h"
-
-
-def _h3(spark, d):
-    data = b"\x01" + bytes([len(_H3_BLOCK)]) + _H3_BLOCK + b"\x00\x03abc"
-    e = events(spark, d).select("event_id", F.lit(data).alias("m"))
-    return e.withColumn("h", F.explode(column(lambda b: _dicts(hpack.h3_messages(b)), array_of(_H3))("m"))).select("event_id", "h.*")
-
-
-@query("prs_h3", "SELECT event_id, unnest(['headers', 'data']) AS kind, unnest([0, 3]) AS size FROM events")
-def _(spark, d):
-    return _h3(spark, d).select("event_id", "kind", "size")
-
-
-@query("fn_h3_urls", "SELECT event_id, 'https://h/index.html' AS url FROM events")
+@query("prd_h2_preface", "SELECT event_id, event_id % 3 = 0 AS preface FROM events")
 def _(spark, d):
-    h = _h3(spark, d).filter("kind = 'headers'")
-    url = F.concat(F.coalesce(F.col("headers")[":scheme"], F.lit("https")), F.lit("://"), F.col("headers")[":authority"], F.col("headers")[":path"])
-    return h.select("event_id", url.alias("url"))
+    heads = [hpack.PREFACE + b"x", hpack.PREFACE[:-1], b"GET / HTTP/1.1"]
+    e = events(spark, d).select("event_id", build.made(lambda n: heads[n % 3], "event_id").alias("m"))
+    return e.select("event_id", column(hpack.is_h2, "boolean")("m").alias("preface"))
 
 
-@query("fn_h3_fp", "SELECT event_id, ':authority,:method,:path,:scheme' AS pseudo FROM events")
 def _(spark, d):
-    return _h3(spark, d).filter("kind = 'headers'").select("event_id", F.array_join(F.array_sort(F.map_keys("headers")), ",").alias("pseudo"))
+    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit(hpack.PREFACE + b"x")).otherwise(F.lit(b"GET / HTTP/1.1")).alias("m"))
+    return e.select("event_id", F.startswith("m", F.lit(hpack.PREFACE)).alias("preface"))
 
 
-@query("agg_http3_stats", "SELECT count(*) AS requests, count(*) AS completed, CAST(sum(3) AS BIGINT) AS bytes FROM events")
+@query("prs_tls_sh", "SELECT event_id, CAST(769 + event_id % 3 AS INT) AS version, CAST(4865 + event_id % 5 AS INT) AS cipher, CASE WHEN event_id % 2 = 0 THEN 772 END AS chosen, CASE WHEN event_id % 7 = 0 THEN 'h2' END AS alpn FROM events")
 def _(spark, d):
-    h = _h3(spark, d)
-    return h.agg(F.count_if(F.col("kind") == "headers").alias("requests"), F.count_if(F.col("kind") == "data").alias("completed"), F.sum("size").alias("bytes"))
+    def message(n):
+        extensions = (b"\0\x2b\0\x02\x03\x04" if n % 2 == 0 else b"") + (b"\0\x10\0\x05\0\x03\x02h2" if n % 7 == 0 else b"")
+        body = bytes([3, 1 + n % 3]) + bytes(32) + bytes([n % 4]) + bytes(n % 4) + (4865 + int(n) % 5).to_bytes(2, "big") + b"\0" + len(extensions).to_bytes(2, "big") + extensions
+        return b"\x02" + len(body).to_bytes(3, "big") + body
 
-
-@query("prs_h2_dispatch", "SELECT event_id, 'settings' AS kind FROM events UNION ALL SELECT event_id, 'headers' FROM events")
-def _(spark, d):
-    frames = b"\0\0\x06\x04\0\0\0\0\0" + b"\0\x03\0\0\0\x64" + b"\0\0\x01\x01\x01\0\0\0\x01\x82" + b"\0\0\x01\x09\x04\0\0\0\x01\x84"
-    kind = array_of("stream_id long, kind string, headers map<string,string>, size int, `end` boolean")
-    e = events(spark, d).select("event_id", F.lit(hpack.PREFACE + frames).alias("m"))
-    return e.select("event_id", F.explode(column(lambda b: _dicts(hpack.h2_messages(b)), kind)("m")).alias("h")).select("event_id", "h.kind")
+    e = events(spark, d).select("event_id", build.made(message, "event_id").alias("m")).withColumn("h", tls.server_hellos("m"))
+    return e.select("event_id", "h.version", F.col("h.ciphers")[0].alias("cipher"), F.get("h.supported_versions", F.lit(0)).alias("chosen"), F.get("h.alpn", F.lit(0)).alias("alpn"))
 
 
-@query("prd_h2_preface", "SELECT event_id, event_id % 2 = 0 AS preface FROM events")
-def _(spark, d):
-    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit(hpack.PREFACE + b"x")).otherwise(F.lit(b"GET / HTTP/1.1")).alias("m"))
-    return e.select("event_id", F.startswith("m", F.lit(hpack.PREFACE)).alias("preface"))
-
-
-@query("prs_tls_sh", "SELECT event_id, 771 AS version, 4865 AS cipher FROM events")
 def _(spark, d):
     body = b"\x03\x03" + bytes(32) + b"\0" + b"\x13\x01" + b"\0" + b"\0\x06" + b"\0\x2b\0\x02\x03\x04"
     e = events(spark, d).select("event_id", F.lit(b"\x02" + len(body).to_bytes(3, "big") + body).alias("m")).withColumn("h", tls.server_hellos("m"))
@@ -287,7 +275,22 @@ def _(spark, d):
     return s.groupBy(F.col("e.session_id").cast("long").alias("session_id")).agg(F.count("*").alias("messages"))
 
 
-@query("prd_smb2", "SELECT event_id, event_id % 2 = 0 AS smb2, event_id % 2 = 1 AS smb3 FROM events")
+@query("prd_smb2", "SELECT event_id, event_id % 5 IN (0, 2) AS smb2, event_id % 5 IN (1, 3) AS smb3 FROM events")
+def _(spark, d):
+    heads = [b"\xfeSMB", b"\xfdSMB", b"\0\0\0\x04\xfeSMB", b"\0\0\0\x04\xfdSMB", b"\xffSMB"]  # with the session service's 4 bytes or without; SMB1
+    e = events(spark, d).select("event_id", build.made(lambda n: heads[n % 5], "event_id").alias("m"))
+    return e.select("event_id", column(smb.is_smb2, "boolean")("m").alias("smb2"), column(smb.is_encrypted, "boolean")("m").alias("smb3"))
+
+
+@query("fn_smb_names", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'SMB 2.0.2' WHEN 1 THEN 'SMB 2.1' WHEN 2 THEN 'SMB 3.0' WHEN 3 THEN 'SMB 3.0.2' WHEN 4 THEN 'SMB 3.1.1' ELSE printf('Unknown (0x%04X)', event_id % 7 + 43000) END AS dialect,
+    CASE event_id % 6 WHEN 1 THEN 'AES-128-CCM' WHEN 2 THEN 'AES-128-GCM' WHEN 3 THEN 'AES-256-CCM' WHEN 4 THEN 'AES-256-GCM' ELSE printf('Unknown (0x%04X)', event_id % 6) END AS cipher FROM events""")
+def _(spark, d):
+    codes = F.array(*(F.lit(x) for x in (0x0202, 0x0210, 0x0300, 0x0302, 0x0311)))
+    n = F.col("event_id")
+    dialect = F.when(n % 7 < 5, F.get(codes, (n % 7).cast("int"))).otherwise(n % 7 + 43000)
+    return events(spark, d).select("event_id", smb.dialect_name(dialect).alias("dialect"), smb.cipher_name(n % 6).alias("cipher"))
+
+
 def _(spark, d):
     e = events(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, F.unhex(F.lit("fe534d42"))).otherwise(F.unhex(F.lit("fd534d42"))).alias("m"))
     return e.select("event_id", F.startswith("m", F.unhex(F.lit("fe534d42"))).alias("smb2"), F.startswith("m", F.unhex(F.lit("fd534d42"))).alias("smb3"))
@@ -341,7 +344,23 @@ def _(spark, d):
     return p.select("page_id", content.magic_mime(F.encode("html", "utf-8")).alias("mime"))
 
 
-@query("crv_addsig", "SELECT '.own' AS extension, 'application/x-own' AS mime, 40 AS line")
+@query("crv_addsig", """SELECT page_id, '.own' AS extension, strlen(left(html, strpos(html, '<article') - 1)) AS start, strlen(split_part(substr(html, strpos(html, '<article')), '</article>', 1)) + 10 AS size
+    FROM pages WHERE contains(html, '<article') AND contains(substr(html, strpos(html, '<article')), '</article>') AND strlen(split_part(substr(html, strpos(html, '<article')), '</article>', 1)) + 10 >= 100
+    AND strpos(substr(html, strpos(html, '<article') + 1), '<article') = 0""")
+def _(spark, d):
+    """Files cut out by a signature of one's own."""
+    own = [(".own", "application/x-own", b"<article".hex(), b"</article>".hex(), 1, "other", False)]
+    p = pages(spark, d).filter(F.length("html") - F.length(F.replace("html", F.lit("<article"), F.lit("<articl"))) == 1)
+    p = p.filter(F.contains(F.substring_index("html", "<article", -1), F.lit("</article>")))
+    return streams.carved(p.select("page_id", F.encode("html", "utf-8").alias("b")), "b", signatures=own).select("page_id", "extension", "start", "size")
+
+
+@query("prj_filedto", f"SELECT page_id AS flow_id, concat('carved_0_', left(sha256(html), 16), '.html') AS name, strlen(html) AS size, 'text/html' AS mime_type, md5(html) AS md5, sha256(html) AS sha1, sha256(html) AS sha256, page_id * 1000 AS ts_nano{_C}")
+def _(spark, d):
+    files = _carved(spark, d).withColumns({"flow_id": F.col("page_id"), "ts_nano": F.col("page_id") * 1000})
+    return streams.file_rows(files).select("flow_id", "name", "size", "mime_type", "md5", "sha1", "sha256", "ts_nano")
+
+
 def _(spark, d):
     own = (".own", "application/x-own", "6f776e", "", 1, "other", False)
     return content.signatures(spark, [own]).filter("extension = '.own'").select("extension", "mime", "line")
@@ -358,7 +377,46 @@ def _(spark, d):
     return streams.written_files(_chunks(spark, d), ["doc_id"]).select("doc_id", "size")
 
 
-@query("smb_list", "SELECT doc_id FROM documents WHERE doc_id >= 100")
+@query("smb_list", "SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, epoch_ns(TIMESTAMP '2024-01-01') + doc_id * 3600000000000 AS ts_nano FROM documents")
+def _(spark, d):
+    return _dated_files(spark, d).select("doc_id", "size", "sha256", "ts_nano")
+
+
+@query("smb_cleanup", "SELECT doc_id, doc_id < max(doc_id) OVER () - 24 AS removed FROM documents")
+def _(spark, d):
+    """Files older than a day, as of the newest one."""
+    f = _dated_files(spark, d)
+    now = f.agg(F.max("ts_nano")).first()[0]
+    return streams.with_expired(f, now, 24 * 3600 * 10**9).select("doc_id", F.col("expired").alias("removed"))
+
+
+def _dated_files(spark, d):
+    stamp = F.lit(1704067200 * 10**9) + F.col("doc_id") * F.lit(3600 * 10**9)
+    return streams.written_files(_chunks(spark, d), ["doc_id"]).withColumn("ts_nano", stamp)
+
+
+@query("fn_tsa_batch", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(text) END AS digest, doc_id % 5 <> 0 AS stamped, CASE WHEN doc_id % 5 <> 0 THEN 1700000000000000000 + doc_id END AS ts_nano FROM documents")
+def _(spark, d):
+    evidence = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.encode("text", "utf-8")).alias("data"), (F.lit(1700000000000000000) + F.col("doc_id")).alias("now"))
+    return encoding.batch_stamps(evidence, "data", "now").select("doc_id", "digest", "stamped", "ts_nano")
+
+
+@query("cls_c2", f"{P}{FLOWS} SELECT flow_id, dst_port = 445 OR dst_port = 53 AND bytes > 10000 OR {sql_case('dst_port', BAD_PORTS)} IS NOT NULL OR bytes < 300 * packets AS is_threat, bytes < 300 * packets AS beacon FROM flows")
+def _(spark, d):
+    """Indicators of one's own beside the built-in ones."""
+    own = classify.Indicator("small_packets", "beacon", F.col("bytes") < 300 * F.col("packets"), "Small packets")
+    t = classify.threats(traffic.flows(packets(spark, d)), [own])
+    return t.select("flow_id", "is_threat", F.array_contains("indicators", "small_packets").alias("beacon"))
+
+
+@query("sql_functions", "SELECT event_id, concat('/e', event_id) AS path, CASE event_id % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method, 0.0::DOUBLE AS entropy FROM events")
+def _(spark, d):
+    """Parsers called from SQL."""
+    sql.register(spark)
+    e = events(spark, d).select("event_id", build.made(lambda n: f"{('GET', 'POST')[n % 2]} /e{n} HTTP/1.1\r\n\r\n".encode(), "event_id").alias("m"))
+    return spark.sql("SELECT event_id, http_request(m).path AS path, http_request(m).method AS method, byte_entropy(CAST('aaaa' AS BINARY)) AS entropy FROM {e}", e=e)
+
+
 def _(spark, d):
     return streams.written_files(_chunks(spark, d), ["doc_id"]).filter("doc_id >= 100").select("doc_id")
 

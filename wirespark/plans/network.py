@@ -54,12 +54,17 @@ def _(spark, d):
     return f.select("packet_id", F.octet_length("frame").cast("double").alias("length"), F.octet_length("x.payload").cast("double").alias("payload_length"), (F.col("x.ttl") / 255.0).alias("ttl"), flag(2).alias("syn"), flag(16).alias("ack"), "s.*")
 
 
-@query("fn_entropy_bytes")
+_BYTES = "WITH b AS (SELECT doc_id, unnest(regexp_extract_all({text}, '..')) AS b FROM documents)"
+
+
+@query("fn_entropy_bytes", f"""{_BYTES.format(text='hex(encode(text))')}, c AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY ALL), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c),
+    e AS (SELECT doc_id, -sum(p * log2(p)) AS e FROM p GROUP BY 1) SELECT doc_id, round(coalesce(e, 0), 6) + 0 AS entropy FROM documents LEFT JOIN e USING (doc_id)""")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.round(column(encoding.byte_entropy, "double")(F.encode("text", "utf-8")), 6).alias("entropy"))
 
 
-@query("fn_byte_stats")
+@query("fn_byte_stats", f"""{_BYTES.format(text='left(hex(encode(text)), 512)')}, n AS (SELECT doc_id, CAST(concat('0x', b) AS INT) AS x FROM b), s AS (SELECT doc_id, avg(x) / 255 AS m, stddev_pop(x) / 255 AS s FROM n GROUP BY 1)
+    SELECT doc_id, round(coalesce(m, 0), 6) AS mean, round(coalesce(s, 0), 6) AS std FROM documents LEFT JOIN s USING (doc_id)""")
 def _(spark, d):
     s = column(lambda b: dict(zip(("mean", "std"), encoding.byte_stats(b))), "mean double, std double")
     return docs(spark, d).withColumn("s", s(F.encode("text", "utf-8"))).select("doc_id", F.round("s.mean", 6).alias("mean"), F.round("s.std", 6).alias("std"))
@@ -107,7 +112,19 @@ def _(spark, d):
     return p.select("page_id", http.responses(m).alias("r")).select("page_id", "r.status", F.octet_length("r.body").cast("long").alias("size"))
 
 
-@query("prs_http_cred", "SELECT page_id, 'basic' AS scheme, 'admin' AS username, 'password' AS secret FROM pages")
+@query("prs_http_cred", "SELECT page_id, 'basic' AS scheme, concat('user', page_id) AS username, concat('p:', page_id % 7) AS secret FROM pages WHERE page_id % 5 <> 0")
+def _(spark, d):
+    import base64
+
+    def message(n):
+        name = "X-Other" if n % 5 == 0 else "Authorization"
+        return f"GET /p HTTP/1.1\r\nHost: h\r\n{name}: Basic {base64.b64encode(f'user{n}:p:{n % 7}'.encode()).decode()}\r\n\r\n".encode()
+
+    r = spark.read.parquet(f"{d}/pages.parquet").select("page_id", http.requests(build.made(message, "page_id")).alias("r"))
+    c = r.select("page_id", http.credentials(F.try_element_at("r.headers", F.lit("authorization"))).alias("c")).filter("c.scheme is not null")
+    return c.select("page_id", "c.scheme", "c.username", "c.secret")
+
+
 def _(spark, d):
     r = _request(spark, d).withColumn("r", http.requests("m"))
     return r.select("page_id", http.credentials(F.col("r.headers")["authorization"]).alias("c")).select("page_id", "c.scheme", "c.username", "c.secret")
@@ -119,7 +136,13 @@ def _(spark, d):
     return r.select("page_id", "r.host", "r.user_agent", F.coalesce(F.try_element_at("r.headers", F.lit("content-length")).try_cast("long"), F.lit(-1)).alias("content_length"))
 
 
-@query("prd_http_req", "SELECT event_id, event_id % 3 = 0 AS request, event_id % 3 = 1 AS response FROM events")
+@query("prd_http_req", "SELECT event_id, event_id % 5 IN (0, 1) AS request, event_id % 5 = 2 AS response FROM events")
+def _(spark, d):
+    heads = [b"GET /%d HTTP/1.1", b"DELETE /%d HTTP/1.1", b"HTTP/1.1 %d", b"GETX %d", b"get /%d HTTP/1.1"]
+    e = events(spark, d).select("event_id", build.made(lambda n: heads[n % 5] % n, "event_id").alias("m"))
+    return e.select("event_id", column(http.is_request, "boolean")("m").alias("request"), column(http.is_response, "boolean")("m").alias("response"))
+
+
 def _(spark, d):
     text = F.element_at(F.array(*(F.lit(x) for x in ("GET / HTTP/1.1", "HTTP/1.1 200", "GETX"))), (F.col("event_id") % 3 + 1).cast("int"))
     starts = F.lit(False)
@@ -128,13 +151,19 @@ def _(spark, d):
     return events(spark, d).select("event_id", starts.alias("request"), F.startswith(text, F.lit("HTTP/")).alias("response"))
 
 
-@query("pii_scan_http")
+@query("pii_scan_http", """SELECT page_id, 'path' AS field, 'email' AS type, concat('u', page_id, '@example.org') AS value FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, 'x-from', 'email', concat('h', page_id, '@example.com') FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'body', 'email', concat('b', page_id, '@example.net') FROM pages WHERE page_id % 5 <> 0""")
 def _(spark, d):
+    """Personal data in the path, in headers and in the body."""
     from wirespark.functions import pii
 
-    r = _request(spark, d).withColumn("r", http.requests("m"))
+    def message(n):
+        path, sender, body = f"/p?u{n}@example.org" if n % 3 == 0 else "/p", f"X-From: h{n}@example.com\r\n" if n % 2 == 0 else "", f"to b{n}@example.net" if n % 5 else "to nobody"
+        return f"POST {path} HTTP/1.1\r\nHost: h\r\n{sender}Content-Length: {len(body)}\r\n\r\n{body}".encode()
+
+    r = spark.read.parquet(f"{d}/pages.parquet").select("page_id", http.requests(build.made(message, "page_id")).alias("r"))
     fields = r.select("page_id", F.explode(F.map_concat(F.create_map(F.lit("path"), F.col("r.path"), F.lit("body"), F.decode("r.body", "utf-8")), "r.headers")).alias("field", "value_text"))
-    return pii.matches(fields, "value_text")
+    return pii.matches(fields, "value_text", ["email"]).select("page_id", "field", "type", "value")
 
 
 def _hello(spark, d):
@@ -187,7 +216,20 @@ _H2 = array_of("stream_id long, kind string, headers map<string,string>, size in
 _dicts = lambda rows: [r | {"headers": dict(r["headers"])} for r in rows]
 
 
-@query("prs_hpack", "SELECT event_id, 'GET' AS method, 'www.example.com' AS authority FROM events")
+@query("prs_hpack", """SELECT event_id, 2 * event_id + 1 AS stream_id, CASE event_id % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method, concat('h', user_id, '.example') AS authority, concat('/e', event_id) AS path
+    FROM events WHERE event_id % 5 <> 0""")
+def _(spark, d):
+    def message(n, user):
+        path, host = f"/e{n}".encode(), f"h{user}.example".encode()
+        block = bytes([0x82 + n % 2, 0x04, len(path)]) + path + bytes([0x41, len(host)]) + host  # the host is entered in the table
+        length = len(block) + (100 if n % 5 == 0 else 0)  # frames that run out are no messages
+        return hpack.PREFACE + length.to_bytes(3, "big") + b"\x01\x05" + (2 * int(n) + 1).to_bytes(4, "big") + block
+
+    e = events(spark, d).select("event_id", build.made(message, "event_id", "user_id").alias("m"))
+    m = e.withColumn("h", F.explode(column(lambda b: _dicts(hpack.h2_messages(b)), _H2)("m")))
+    return m.select("event_id", "h.stream_id", *(F.col("h.headers")[f":{k}"].alias(k) for k in ("method", "authority", "path")))
+
+
 def _(spark, d):
     block = bytes.fromhex("828684418cf1e3c2e5f23a6ba0ab90f4ff")
     frame = len(block).to_bytes(3, "big") + b"\x01\x05" + (1).to_bytes(4, "big") + block
@@ -196,7 +238,30 @@ def _(spark, d):
     return m.select("event_id", F.col("h.headers")[":method"].alias("method"), F.col("h.headers")[":authority"].alias("authority"))
 
 
-@query("prs_h2_frame", "SELECT event_id, 'HEADERS' AS type, 1::BIGINT AS stream_id FROM events")
+_H2_FRAME = array_of("length int, type int, type_name string, flags int, stream_id long, payload binary")
+
+
+def _frames(spark, d):
+    """Two frames a message: of every type, with payloads of different length."""
+    frame = lambda n, kind: (n % 7).to_bytes(3, "big") + bytes([kind, n % 3]) + int(n).to_bytes(4, "big") + bytes(n % 7)
+    e = events(spark, d).select("event_id", build.made(lambda n: (hpack.PREFACE if n % 2 else b"") + frame(n, n % 11) + frame(n + 1, 4) + b"\0\0", "event_id").alias("m"))
+    return e.withColumn("f", F.explode(column(hpack.h2_frames, _H2_FRAME)("m"))).select("event_id", "f.*")
+
+
+_H2_NAMES = "['DATA', 'HEADERS', 'PRIORITY', 'RST_STREAM', 'SETTINGS', 'PUSH_PROMISE', 'PING', 'GOAWAY', 'WINDOW_UPDATE', 'CONTINUATION', 'UNKNOWN(10)']"
+
+
+@query("prs_h2_frame", """SELECT event_id, event_id AS stream_id, CAST(event_id % 7 AS INT) AS length, CAST(event_id % 3 AS INT) AS flags FROM events
+    UNION ALL SELECT event_id, event_id + 1, CAST((event_id + 1) % 7 AS INT), CAST((event_id + 1) % 3 AS INT) FROM events""")
+def _(spark, d):
+    return _frames(spark, d).select("event_id", "stream_id", "length", "flags")
+
+
+@query("fn_h2_type", f"SELECT name AS type, CAST(sum(n) AS BIGINT) AS frames FROM (SELECT ({_H2_NAMES})[event_id % 11 + 1] AS name, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'SETTINGS', count(*) FROM events) GROUP BY 1")
+def _(spark, d):
+    return _frames(spark, d).groupBy(F.col("type_name").alias("type")).agg(F.count("*").alias("frames"))
+
+
 def _(spark, d):
     frame = b"\0\0\x01\x01\x05" + (1).to_bytes(4, "big") + b"\x82"
     kind = array_of("length int, type int, type_name string, flags int, stream_id long, payload binary")
@@ -204,7 +269,18 @@ def _(spark, d):
     return e.select("event_id", F.col("f.type_name").alias("type"), "f.stream_id")
 
 
-@query("prs_qpack", "SELECT event_id, '/index.html' AS path FROM events")
+@query("prs_qpack", "SELECT event_id, concat('/q', event_id) AS path, ['CONNECT', 'DELETE', 'GET', 'HEAD', 'OPTIONS', 'POST', 'PUT'][event_id % 7 + 1] AS method, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS own FROM events")
+def _(spark, d):
+    def message(n, user):
+        path, own = f"/q{n}".encode(), f"{user}".encode()
+        block = b"\0\0" + bytes([0xC0 + 15 + n % 7, 0x51, len(path)]) + path + (b"\x23x-o" + bytes([len(own)]) + own if n % 2 == 0 else b"")
+        return b"\x01" + bytes([len(block)]) + block
+
+    kind = array_of("kind string, headers map<string,string>, size int")
+    e = events(spark, d).select("event_id", build.made(message, "event_id", "user_id").alias("m")).withColumn("h", F.explode(column(lambda b: _dicts(hpack.h3_messages(b)), kind)("m")))
+    return e.select("event_id", *(F.try_element_at("h.headers", F.lit(k)).alias(n) for k, n in ((":path", "path"), (":method", "method"), ("x-o", "own"))))
+
+
 def _(spark, d):
     block = bytes.fromhex("0000510b2f696e6465782e68746d6c")
     kind = array_of("kind string, headers map<string,string>, size int")
@@ -367,10 +443,14 @@ def _(spark, d):
 # ---- exports
 
 
-@query("snk_json")
+@query("snk_json", f"""{P}, h AS (SELECT src_ip AS ip, length FROM packets UNION ALL SELECT dst_ip, length FROM packets) SELECT 'stats' AS section, '' AS ip, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets
+    UNION ALL SELECT 'host', ip, NULL, NULL FROM h GROUP BY ip""")
 def _(spark, d):
     p = packets(spark, d)
-    return sinks.results_json(p, traffic.hosts(p))
+    field = lambda k: F.get_json_object("json", f"$.{k}")
+    stats = F.col("section") == "stats"
+    j = sinks.results_json(p, traffic.hosts(p))
+    return j.select("section", F.when(stats, "").otherwise(field("ip")).alias("ip"), *(F.when(stats, field(k).cast("long")).alias(k) for k in ("packets", "bytes")))
 
 
 @query("snk_case")
