@@ -90,11 +90,11 @@ def carve(data: bytes, best_only: bool = False, signatures=CARVING, most: int =
         header, footer = bytes.fromhex(head), bytes.fromhex(foot)
         at = data.find(header)
         while at >= 0:
-            most = min(len(data), at + min(mib << 20, MOST_FILE))
-            end = most
+            reach = min(len(data), at + min(mib << 20, MOST_FILE))
+            end = reach
             if footer:
-                found = data.find(footer, at + len(header), most)
-                end = found + len(footer) if found >= 0 else most
+                found = data.find(footer, at + len(header), reach)
+                end = found + len(footer) if found >= 0 else reach
             body = data[at:end]
             if len(body) >= LEAST_FILE and not (best_only and at in taken):
                 taken.add(at)
