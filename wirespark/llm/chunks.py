@@ -44,7 +44,7 @@ class ChunkEncoder:
 
     COLUMNS = LONGEST_KEPT // 8
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], wide: np.dtype, spaced: bool = True, most: int = 800_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], wide: np.dtype, spaced: bool = True, most: int = 500_000):
         self.encode_many, self.wide, self.spaced, self.most = encode_many, np.dtype(wide), spaced, most
         self.bits = max(10, (2 * most).bit_length())
         self.kinds = _kinds(spaced)

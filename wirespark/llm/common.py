@@ -83,8 +83,13 @@ def release() -> None:
     """Workers serve many steps: those that don't use the memo of another give it up."""
     if _held:
         _held.clear()
-        with contextlib.suppress(OSError, AttributeError):  # glibc only: give freed memory back to the system
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system (glibc only)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slabs(texts: Iterable[str], most: int = 1 << 20) -> Iterable[list[str]]:

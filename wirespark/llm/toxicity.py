@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirespark.llm.common import doc_texts, fold, held, release, shared_path, slabs, staged, table, without_gc
+from wirespark.llm.common import doc_texts, fold, held, release, shared_path, slabs, staged, table, trim, without_gc
 from wirespark.llm.katz import pack, unpack
 from wirespark.llm.storage import open_file, write_file
 
@@ -148,7 +148,7 @@ class Scorer:
 
     def features(self, texts: list[str]) -> np.ndarray:
         out = []
-        for group in slabs(texts):
+        for group in slabs(texts, 1 << 18):
             words = [WORD.findall(x.lower()) for x in group]
             memo = self.memo
             new = list({w for doc in words for w in doc if w not in memo})
@@ -223,7 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST
             words += batch.column("word").to_pylist()
             counts.append(np.stack([np.array(batch.column(k), float) for k in ("ordinary", "toxic")], 1))
         write_file(path, [ToxicModel(words, np.concatenate(counts)).arrays()])
-        yield pa.record_batch([pa.array([len(words)], pa.int64())], ["words"])
+        n = len(words)
+        words, counts = [], []
+        trim()
+        yield pa.record_batch([pa.array([n], pa.int64())], ["words"])
 
     words = chosen.filter("fit").select("text", "toxic").mapInArrow(count, "word string, ordinary long, toxic long")
     counted = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
