@@ -65,11 +65,13 @@ def _(spark, d):
 # ---- limits, sorts, unions
 
 
-@query("lim_carve", "WITH n AS (SELECT doc_id, source, strlen(text) AS size, row_number() OVER w AS n, sum(strlen(text)) OVER w AS total FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id FROM n WHERE n <= 100 AND total <= 200000")
+@query("lim_carve", """WITH n AS (SELECT doc_id, source, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    t AS (SELECT doc_id, row_number() OVER w AS k, sum(size) OVER w AS total FROM n WHERE n <= 100 WINDOW w AS (ORDER BY doc_id)) SELECT doc_id FROM t WHERE k <= 10000 AND total <= 10737418240""")
 def _(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = docs(spark, d).select("doc_id", "source", F.octet_length("text").alias("size"))
-    return n.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("size").over(w)).filter("n <= 100 and total <= 200000").select("doc_id")
+    """100 files a stream, 10,000 in all, 10 GiB."""
+    n = docs(spark, d).select("doc_id", "source", F.octet_length("text").alias("size")).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 100")
+    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return n.orderBy("doc_id").limit(10_000).withColumn("total", F.sum("size").over(w)).filter("total <= 10737418240").select("doc_id")
 
 
 @query("sort_versions", "SELECT 'forest' AS model, 1 AS version UNION ALL SELECT 'forest', 2 UNION ALL SELECT 'lof', 1")

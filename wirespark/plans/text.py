@@ -269,9 +269,9 @@ def _(spark, d):
     return c.select("conv_id", "turn", F.size(pii.found(F.col("text"), "email")).cast("long").alias("emails"))
 
 
-@query("agg_pii_findings", f"{PII}, k AS (SELECT doc_id, type, count(*) AS n FROM m WHERE confidence >= 0.7::DOUBLE GROUP BY ALL) SELECT doc_id, type, n FROM k ORDER BY doc_id DESC, type LIMIT 100")
+@query("agg_pii_findings", f"{PII}, k AS (SELECT doc_id, type, count(*) AS n FROM m WHERE confidence >= 0.7::DOUBLE GROUP BY ALL) SELECT doc_id, type, n FROM k ORDER BY doc_id DESC, type LIMIT 10000")
 def _(spark, d):
-    return found(spark, d).groupBy("doc_id", "type").agg(F.count("*").alias("n")).orderBy(F.desc("doc_id"), "type").limit(100)
+    return found(spark, d).groupBy("doc_id", "type").agg(F.count("*").alias("n")).orderBy(F.desc("doc_id"), "type").limit(10_000)
 
 
 @query("pii_headers", "SELECT page_id, '[REDACTED]' AS cookie, concat('to ', '[EMAIL]') AS note FROM pages")

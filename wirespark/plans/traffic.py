@@ -390,9 +390,9 @@ def _(spark, d):
     return traffic.page(traffic.flows(packets(spark, d)), 0, 500, "flow_id").select("flow_id", "bytes")
 
 
-@query("lim_ring", f"{P} SELECT packet_id FROM packets ORDER BY packet_id DESC LIMIT 1000")
+@query("lim_ring", f"{P} SELECT packet_id FROM packets ORDER BY packet_id DESC LIMIT 100000")
 def _(spark, d):
-    return traffic.newest(packets(spark, d), 1000).select("packet_id")
+    return traffic.newest(packets(spark, d), 100_000).select("packet_id")
 
 
 @query("win_topk_alert", f"{THREATS} SELECT flow_id FROM threats WHERE is_threat ORDER BY end_nano DESC, flow_id LIMIT 100")
