@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table: all but the last the documents it keeps, with all their
 columns; the last the packed pieces. run() writes each stage's result to shared storage and reads it back.
+
+Defined results: a null or empty text scores as text without evidence and goes at the quality rules, which ask for 20 words;
+rows without a doc_id are judged by their text and never count as labelled; of repeated rows (the same doc_id and text) one
+stays; tables without rows give tables without rows; other columns pass as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,13 +16,11 @@ from pyspark.sql import functions as F
 from wirespark.llm import minhash, packing, quality, toxicity
 from wirespark.llm.common import staged, table
 
-_SCORE = "__toxicity"
-
-
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learned from all labelled documents among docs."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(False))
-    return toxicity.scored(docs, model, _SCORE).filter(F.col(_SCORE) < toxicity.THRESHOLD).drop(_SCORE)
+    score = "score" + "_" * max(map(len, docs.columns), default=0)  # longer than any column's name
+    return toxicity.scored(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
