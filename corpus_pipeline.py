@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wirespark.llm import minhash, packing, quality, toxicity
 from wirespark.llm.common import staged, table
 
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learned from all labelled documents among docs."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(False))
