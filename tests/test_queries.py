@@ -11,7 +11,7 @@ from wirespark import plans
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: Queries without SQL, and the tests that hold their values against something plain.
+#: Queries without SQL, and the tests that hold their values, or those of the operator beneath, against something plain.
 CHECKED = {
     "agg_carver_stats": "test_plain.py::test_carving", "crv_embedded": "test_plain.py::test_carving", "agg_reasm_stats": "test_plain.py::test_reassembly_totals", "cls_alerts_lib": "test_plain.py::test_alerts",
     "cls_ensemble": "test_operators.py::test_forest_and_lof_find_the_outlier", "cls_iforest": "test_whole.py::test_forest_threshold_is_of_all_rows", "cls_ml": "test_operators.py::test_forest_and_lof_find_the_outlier",
