@@ -17,7 +17,7 @@ def documents(spark, tmp_path):
 
 def test_hexsearch_finds_hits_after_a_prefix(spark, documents):
     rows = [(0, "x" * 5000 + "Th" + "é" * 300 + "tHth"), (1, "th" * 400), (2, ""), (3, "no hit " * 100)]
-    got = plans.queries()["flt_hexsearch_whole"](spark, documents(rows)).collect()
+    got = plans.queries()["flt_hexsearch"](spark, documents(rows)).collect()
     assert {r.doc_id: r.hits for r in got} == {i: sum(t[k : k + 2].lower() == "th" for k in range(len(t))) for i, t in rows}
 
 
@@ -32,7 +32,7 @@ def test_smb_content_is_classified_by_all_of_it(spark, documents):
 def embeddings(spark, tmp_path):
     import numpy as np
 
-    x = np.random.default_rng(2).normal(size=(4500, 8))
+    x = np.random.default_rng(2).normal(size=(4500, 12))
     x[10:40] = x[0]  # copies
     x = x.astype("float32").astype(float)
     spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")

@@ -6,6 +6,8 @@ against all rows (lof_scores) and the forest's threshold (contamination_limit) l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -126,21 +128,28 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
-    """Rows of q, rows of x and distances of the k nearest to each of q among x but itself; ties go to the earlier of x."""
-    k = min(k, len(x))
+    """Rows of q, rows of x and distances of the k nearest to each of q among x but itself; ties go to the earlier of x.
+
+    A matrix product finds who may be among the k, within its rounding error; their distances are summed from differences.
+    """
+    k, squares = min(k, len(x)), (x**2).sum(1)
     for start in range(0, len(q), 256):
         part = q[start : start + 256]
-        d = np.zeros((len(part), len(x)))
-        for f in range(x.shape[1]):
-            d += (part[:, f, None] - x[None, :, f]) ** 2
+        own = (part**2).sum(1)[:, None]
+        d = own + squares[None] - 2 * part @ x.T
         d[q_ids[start : start + 256, None] == x_ids[None]] = np.inf
-        near = np.argpartition(d, k - 1, 1)[:, :k]
-        limit = np.take_along_axis(d, near, 1).max(1)
-        tied = np.flatnonzero((d <= limit[:, None]).sum(1) > k)
-        near[tied] = np.argsort(d[tied], 1, kind="stable")[:, :k]
-        found = np.take_along_axis(d, near, 1).ravel()
-        keep = np.isfinite(found)
-        yield (np.repeat(np.arange(len(part)), k) + start)[keep], near.ravel()[keep], np.sqrt(found[keep])
+        error = 8 * x.shape[1] * np.finfo(float).eps * (own + squares.max())
+        row, other = np.nonzero(d <= np.partition(d, k - 1, 1)[:, k - 1 : k] + error)
+        exact = np.empty(len(row))
+        for at in range(0, len(row), 1 << 16):  # copies may make many of them
+            r, o = row[at : at + (1 << 16)], other[at : at + (1 << 16)]
+            exact[at : at + (1 << 16)] = ((part[r] - x[o]) ** 2).sum(1)
+        exact[q_ids[start + row] == x_ids[other]] = np.inf
+        order = np.lexsort((other, exact, row))
+        first = np.searchsorted(row, np.arange(len(part)))  # row is in order already, and stays so
+        order = order[np.arange(len(row)) - first[row] < k]
+        order = order[np.isfinite(exact[order])]
+        yield row[order] + start, other[order], np.sqrt(exact[order])
 
 
 def neighbours(rows: DataFrame, features: list[str], key: str, k: int, block_rows: int = 4096) -> DataFrame:
@@ -204,16 +213,17 @@ def ensemble(z: Column, forest: Column, lof: Column, limit: float = 3.0) -> Colu
 
 
 def onnx_scores(rows: DataFrame, features: list[str], path: str, name: str = "probabilities", least: float = 0.5) -> DataFrame:
-    """Probabilities of an ONNX model, a session for each worker and real batches; top3 and label (null under `least`)."""
+    """Probabilities of an ONNX model, a session for each task and real batches; top3 and label (null under `least`)."""
 
     @F.pandas_udf("array<double>")
-    def run(*columns: pd.Series) -> pd.Series:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         import onnxruntime
 
         session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
-        x = np.stack([c.to_numpy(np.float32) for c in columns], 1)
-        out = session.run(None, {session.get_inputs()[0].name: x})[-1]
-        return pd.Series([np.asarray(r, float).tolist() for r in out])
+        for columns in batches:
+            x = np.stack([c.to_numpy(np.float32) for c in columns], 1)
+            out = session.run(None, {session.get_inputs()[0].name: x})[-1]
+            yield pd.Series([np.asarray(r, float).tolist() for r in out])
 
     p = rows.withColumn(name, run(*features))
     ranked = F.array_sort(F.transform(name, lambda v, i: F.struct((-v).alias("p"), i.alias("label"))))

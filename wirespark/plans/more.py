@@ -10,7 +10,7 @@ from wirespark.functions import content, encoding, pii, sql
 from wirespark.functions.parsers import array_of, column, dns, hpack, http, smb, tls
 from wirespark.operators import anomaly, classify, filters, streams, traffic
 from wirespark.plans import build
-from wirespark.plans.network import _DIMS, _chunks, _credentials, _dicts, _points, _segments, events
+from wirespark.plans.network import _chunks, _credentials, _dicts, _points, _segments, events
 from wirespark.plans.packets import SQL_PACKETS, packets
 from wirespark.plans.registry import query
 from wirespark.plans.text import NAMES, docs, names, shares
@@ -166,12 +166,6 @@ def _(spark, d):
     return p.select("vec_id", F.array_join(F.transform(classify.top_predictions("p"), lambda i: i.cast("string")), ",").alias("labels"))
 
 
-def _(spark, d):
-    p = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 5).alias("p"))
-    ranked = F.array_sort(F.transform("p", lambda v, i: F.struct((-v).alias("p"), i.alias("i"))))
-    return p.select("vec_id", F.array_join(F.transform(F.slice(ranked, 1, 3), lambda r: r["i"].cast("string")), ",").alias("labels"))
-
-
 @query("cls_anom_py", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT *, list_avg(e) AS m FROM v), t AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: (x - m) * (x - m))) / len(e)) AS s FROM s) SELECT vec_id, list_max(list_transform(e, lambda x: abs((x - m) / s))) > 3 AS is_anomaly FROM t")
 def _(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", encoding.standardized(F.transform("embedding", lambda x: x.cast("double"))).alias("z"))
@@ -181,8 +175,8 @@ def _(spark, d):
 @query("cls_ml")
 def _(spark, d):
     """Without a model the forest stands in: probabilities of ordinary and odd."""
-    p = _points(spark, d)
-    s = anomaly.scored(p, _DIMS, anomaly.IsolationForest(anomaly.sampled(p, _DIMS, 2000, "vec_id")), "odd")
+    p, dims = _points(spark, d)
+    s = anomaly.scored(p, dims, anomaly.IsolationForest(anomaly.sampled(p, dims, 2000, "vec_id")), "odd")
     return s.select("vec_id", F.when(F.col("odd") >= 0.5, "odd").otherwise("ordinary").alias("label"), F.round(F.greatest("odd", 1 - F.col("odd")), 6).alias("confidence"))
 
 
@@ -340,10 +334,13 @@ def _(spark, d):
     return _carved(spark, d).select("page_id", F.lit(0).alias("stored_bytes"), "size")
 
 
-@query("crv_mime", "SELECT page_id, 'text/plain' AS mime FROM pages WHERE NOT regexp_matches(left(html, 512), '[^ -~\\n\\r\\t]') AND strlen(html) >= 512")
+_MAGIC = " ".join(f"WHEN starts_with(hex(encode(html)), '{magic}') THEN '{mime}'" for mime, magic in content.MAGIC)
+
+
+@query("crv_mime", f"""SELECT page_id, CASE WHEN strlen(html) < 4 THEN 'application/octet-stream' {_MAGIC}
+    WHEN regexp_full_match(left(hex(encode(html)), 1024), '((09|0A|0B|0C|0D|[2-6][0-9A-F]|7[0-9A-E]|[89AB][0-9A-F]))+') THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM pages""")
 def _(spark, d):
-    p = pages(spark, d).filter((F.octet_length("html") >= 512) & ~F.regexp_like(F.left("html", F.lit(512)), F.lit("[^ -~\\n\\r\\t]")))
-    return p.select("page_id", content.magic_mime(F.encode("html", "utf-8")).alias("mime"))
+    return pages(spark, d).select("page_id", content.magic_mime(F.encode("html", "utf-8")).alias("mime"))
 
 
 @query("crv_addsig", """SELECT page_id, '.own' AS extension, strlen(left(html, strpos(html, '<article') - 1)) AS start, strlen(split_part(substr(html, strpos(html, '<article')), '</article>', 1)) + 10 AS size

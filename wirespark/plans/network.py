@@ -507,39 +507,39 @@ def _(spark, d):
 
 # ---- models
 
-_DIMS = [f"x{k}" for k in range(8)]
-
 
 def _points(spark, d):
+    """vec_id and every component as a column of its own, and the names of these."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    return v.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(_DIMS)))
+    dims = [f"x{k}" for k in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return v.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(dims))), dims
 
 
 @query("cls_iforest")
 def _(spark, d):
-    p = _points(spark, d)
-    model = anomaly.IsolationForest(anomaly.sampled(p, _DIMS, 4096, "vec_id"))
-    s = anomaly.scored(p, _DIMS, model, "score")
+    p, dims = _points(spark, d)
+    model = anomaly.IsolationForest(anomaly.sampled(p, dims, 4096, "vec_id"))
+    s = anomaly.scored(p, dims, model, "score")
     return s.select("vec_id", F.round("score", 6).alias("score"), (F.col("score") > anomaly.contamination_limit(s, "score")).alias("is_anomaly"))
 
 
 @query("cls_lof")
 def _(spark, d):
-    return anomaly.lof_scores(_points(spark, d), _DIMS, "vec_id", "score").select("vec_id", F.round("score", 6).alias("score"))
+    return anomaly.lof_scores(*_points(spark, d), "vec_id", "score").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("jn_lof_knn")
 def _(spark, d):
-    return anomaly.lof_scores(_points(spark, d), _DIMS, "vec_id", "score", 5).select("vec_id", F.round("score", 6).alias("score"))
+    return anomaly.lof_scores(*_points(spark, d), "vec_id", "score", 5).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("cls_ensemble")
 def _(spark, d):
-    p = _points(spark, d)
-    fit = anomaly.sampled(p, _DIMS, 2000, "vec_id")
-    s = anomaly.lof_scores(anomaly.scored(p, _DIMS, anomaly.IsolationForest(fit), "forest"), _DIMS, "vec_id", "lof")
-    scale = series.fitted(p, _DIMS)
-    z = series.normalized(p, _DIMS, scale).select("vec_id", F.sqrt(sum((F.col(n) * F.col(n) for n in _DIMS), F.lit(0.0)) / len(_DIMS)).alias("z"))
+    p, dims = _points(spark, d)
+    fit = anomaly.sampled(p, dims, 2000, "vec_id")
+    s = anomaly.lof_scores(anomaly.scored(p, dims, anomaly.IsolationForest(fit), "forest"), dims, "vec_id", "lof")
+    scale = series.fitted(p, dims)
+    z = series.normalized(p, dims, scale).select("vec_id", F.sqrt(sum((F.col(n) * F.col(n) for n in dims), F.lit(0.0)) / len(dims)).alias("z"))
     return s.join(z, "vec_id").withColumn("e", anomaly.ensemble(F.col("z"), F.col("forest"), F.col("lof"))).select("vec_id", F.round("e.score", 6).alias("score"), "e.is_anomaly")
 
 

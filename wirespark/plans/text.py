@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wirespark.dims import ADMIN_SHARES, BIGRAMS, COMMON_TLDS, DNS_RCODES, DNS_TYPES, EXTENSIONS, PII_DEFAULT, PII_PATTERNS, REMOTE_EXEC_TOOLS, SECRET_PATTERNS, SERVICE_PIPES, WMI_PIPES, sql_case, sql_list
+from wirespark.dims import ADMIN_SHARES, BIGRAMS, COMMON_TLDS, DNS_RCODES, DNS_TYPES, EXTENSIONS, PII_DEFAULT, PII_PATTERNS, REMOTE_EXEC_TOOLS, SECRET_PATTERNS, SERVICE_PIPES, SUSPICIOUS_CONTENT, WMI_PIPES, sql_case, sql_list
 from wirespark.functions import content, domain, encoding, fingerprint, pii
 from wirespark.operators import traffic
 from wirespark.plans.packets import SQL_PACKETS, packets
@@ -512,8 +512,11 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", content.is_threat(F.lit("text/html"), F.col("html")).alias("threat"))
 
 
-@query("smb_content", """SELECT doc_id, CASE WHEN starts_with(text, 'MZ') THEN 'Executable file' WHEN contains(lower(text), 'powershell') THEN 'Suspicious content: powershell' WHEN contains(lower(text), 'cmd.exe') THEN 'Suspicious content: cmd.exe' END AS kind
-    FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'MZ' WHEN 1 THEN 'x PowerShell -enc ' WHEN 2 THEN 'run CMD.exe ' ELSE '' END, left(text, 100)) AS text FROM documents)""")
+_KINDS = " ".join(f"WHEN contains(lower(text), '{w}') THEN 'Suspicious content: {w}'" for w in SUSPICIOUS_CONTENT)
+
+
+@query("smb_content", f"""SELECT doc_id, CASE WHEN starts_with(text, 'MZ') THEN 'Executable file' {_KINDS} END AS kind
+    FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MZ' WHEN 1 THEN 'x PowerShell -enc ' WHEN 2 THEN 'run CMD.exe ' ELSE '' END || text AS text FROM documents)""")
 def _(spark, d):
     t = F.concat(F.expr("CASE doc_id % 4 WHEN 0 THEN 'MZ' WHEN 1 THEN 'x PowerShell -enc ' WHEN 2 THEN 'run CMD.exe ' ELSE '' END"), "text")
     return docs(spark, d).select("doc_id", content.suspicious_content(t, F.lit("a.txt")).alias("kind"))
@@ -525,13 +528,7 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", content.magic_mime(head).alias("mime"))
 
 
-@query("flt_hexsearch", "SELECT doc_id, len(list_filter(range(1, greatest(length(t), 1)), lambda i: substr(t, CAST(i AS INT), 2) = 'th')) AS hits FROM (SELECT doc_id, lower(left(regexp_replace(text, '[^ -~]', '?', 'g'), 300)) AS t FROM documents)")
-def _(spark, d):
-    t = F.left(F.regexp_replace("text", "[^ -~]", "?"), F.lit(300))
-    return docs(spark, d).select("doc_id", F.size(content.pattern_offsets(t.cast("binary"), "th")).cast("long").alias("hits"))
-
-
-@query("flt_hexsearch_whole")
+@query("flt_hexsearch", "SELECT doc_id, (length(t) - length(replace(t, 'th', ''))) // 2 AS hits FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(content.pattern_offsets(F.col("text").cast("binary"), "th")).cast("long").alias("hits"))
 
