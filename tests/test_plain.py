@@ -12,7 +12,7 @@ import pytest
 
 from wirespark import plans
 from wirespark.functions import encoding
-from wirespark.operators import classify, streams
+from wirespark.operators import anomaly, classify, streams
 from wirespark.plans.packets import packets as packet_table
 
 DIR = "/root/testdata/sf0.001"
@@ -159,3 +159,108 @@ def test_pipeline(spark, packets):
             seen.add(p["packet_id"])
     assert {r.packet_id for r in got} == seen and all(r.z >= 0 for r in got)
     assert all(r.flow_id in bad for r in got if r.is_threat and r.threat_type != "exfiltration")  # that one goes by bytes so far
+
+
+#: Fixed values of the public BLAKE3 specification: the start, and the order of words in the next round.
+BLAKE3_IV = [0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19]
+BLAKE3_ORDER = [2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8]
+
+
+def plain_blake3(data):
+    mask = 0xFFFFFFFF
+
+    def compress(cv, block, counter, size, flags):
+        m = [int.from_bytes(block[i : i + 4], "little") for i in range(0, 64, 4)]
+        v = [*cv, *BLAKE3_IV[:4], counter & mask, counter >> 32, size, flags]
+        for _ in range(7):
+            for k, (a, b, c, d) in enumerate([(0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15), (0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)]):
+                for x, first, second in ((m[2 * k], 16, 12), (m[2 * k + 1], 8, 7)):
+                    v[a] = (v[a] + v[b] + x) & mask
+                    v[d] ^= v[a]
+                    v[d] = (v[d] >> first | v[d] << 32 - first) & mask
+                    v[c] = (v[c] + v[d]) & mask
+                    v[b] ^= v[c]
+                    v[b] = (v[b] >> second | v[b] << 32 - second) & mask
+            m = [m[i] for i in BLAKE3_ORDER]
+        return [v[i] ^ v[i + 8] for i in range(8)]
+
+    def node(part, number, root):
+        if len(part) <= 1024:
+            cv, blocks = BLAKE3_IV, [part[i : i + 64] for i in range(0, len(part), 64)] or [b""]
+            for k, block in enumerate(blocks):
+                last = k == len(blocks) - 1
+                cv = compress(cv, block.ljust(64, b"\0"), number, len(block), (k == 0) + 2 * last + 8 * (last and root))
+            return cv
+        left = 1024 << ((len(part) - 1) // 1024).bit_length() - 1  # the largest power of two of chunks that leaves some
+        children = node(part[:left], number, False) + node(part[left:], number + left // 1024, False)
+        return compress(BLAKE3_IV, b"".join(x.to_bytes(4, "little") for x in children), 0, 64, 4 + 8 * root)
+
+    return b"".join(x.to_bytes(4, "little") for x in node(data, 0, True))
+
+
+def test_blake3(spark):
+    want = {r.doc_id: plain_blake3(r.text.encode()).hex() for r in rows(spark, "documents", "doc_id", "text")}
+    assert {r.doc_id: r.blake3 for r in run(spark, "fn_blake3")} == want
+
+
+def test_merkle(spark):
+    want = {}
+    for r in rows(spark, "documents", "doc_id", "text"):
+        data = r.text.encode()
+        level = [plain_blake3(data[i : i + 1024]) for i in range(0, max(1, len(data)), 1024)]
+        while len(level) > 1:
+            level = [plain_blake3(a + b) for a, b in zip(level[::2], [*level[1::2], level[-1]])]
+        want[r.doc_id] = level[0].hex()
+    assert {r.doc_id: bytes(r.root).hex() if not isinstance(r.root, str) else r.root for r in run(spark, "fn_merkle")} == want
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return {r.vec_id: [float(x) for x in r.embedding] for r in rows(spark, "embeddings", "vec_id", "embedding")}
+
+
+def forest_scores(spark, vectors, most):
+    """Every vector walked down every tree; the trees are those of the query, grown from its sample."""
+    dims = [f"x{k}" for k in range(len(next(iter(vectors.values()))))]
+    table = spark.createDataFrame([(i, *x) for i, x in vectors.items()], "vec_id long, " + ", ".join(f"{n} double" for n in dims))
+    model = anomaly.IsolationForest(anomaly.sampled(table, dims, most, "vec_id"))
+
+    def depth(tree, x, at=0):
+        feature, limit, left, right, end = tree[at]
+        return end if feature < 0 else depth(tree, x, int(left if x[int(feature)] < limit else right))
+
+    n = model.size
+    usual = 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    return {i: 2 ** -(sum(depth(t, x) for t in model.trees) / len(model.trees) / usual) for i, x in vectors.items()}
+
+
+def test_forest(spark, vectors):
+    scores = forest_scores(spark, vectors, 4096)
+    limit = sorted(scores.values())[min(len(scores) - 1, int(len(scores) * 0.9))]
+    got = run(spark, "cls_iforest")
+    assert len(got) == len(scores)
+    for r in got:
+        assert abs(r.score - scores[r.vec_id]) < 1e-6 and (r.is_anomaly == (scores[r.vec_id] > limit) or abs(scores[r.vec_id] - limit) < 1e-9)
+    scores = forest_scores(spark, vectors, 2000)
+    got = run(spark, "cls_ml")
+    assert len(got) == len(scores)
+    assert all((r.label, r.confidence) == ("odd" if scores[r.vec_id] >= 0.5 else "ordinary", pytest.approx(max(scores[r.vec_id], 1 - scores[r.vec_id]), abs=1e-6)) for r in got)
+
+
+def test_ensemble(spark, vectors):
+    forest, k = forest_scores(spark, vectors, 2000), 20
+    near = {i: sorted((math.dist(x, y), j) for j, y in vectors.items() if j != i)[:k] for i, x in vectors.items()}
+    reach = {i: n[-1][0] for i, n in near.items()}
+    density = {i: 1 / max(sum(max(d, reach[j]) for d, j in n) / k, 1e-12) for i, n in near.items()}
+    width, got = len(next(iter(vectors.values()))), run(spark, "cls_ensemble")
+    columns = list(zip(*vectors.values()))
+    mean = [sum(c) / len(c) for c in columns]
+    std = [math.sqrt(sum((x - m) ** 2 for x in c) / len(c)) for c, m in zip(columns, mean)]
+    assert len(got) == len(vectors)
+    for r in got:
+        i, inner = r.vec_id, near[r.vec_id][: k - 1]  # a row that is scored is its own first neighbour
+        own = 1 / max((reach[i] + sum(max(d, reach[j]) for d, j in inner)) / k, 1e-12)
+        lof = min(1, max(0, ((density[i] + sum(density[j] for _, j in inner)) / k / own - 1) / 2))
+        z = math.sqrt(sum(((x - m) / s) ** 2 for x, m, s in zip(vectors[i], mean, std)) / width)
+        score = 0.4 * min(1, z / 3) + 0.35 * forest[i] + 0.25 * lof
+        assert r.score == pytest.approx(score, abs=2e-6) and (r.is_anomaly == (score > 0.5) or abs(score - 0.5) < 1e-9)

@@ -14,9 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Queries without SQL, and the tests that hold their values, or those of the operator beneath, against something plain.
 CHECKED = {
     "agg_carver_stats": "test_plain.py::test_carving", "crv_embedded": "test_plain.py::test_carving", "agg_reasm_stats": "test_plain.py::test_reassembly_totals", "cls_alerts_lib": "test_plain.py::test_alerts",
-    "cls_ensemble": "test_operators.py::test_forest_and_lof_find_the_outlier", "cls_iforest": "test_whole.py::test_forest_threshold_is_of_all_rows", "cls_ml": "test_operators.py::test_forest_and_lof_find_the_outlier",
+    "cls_ensemble": "test_plain.py::test_ensemble", "cls_iforest": "test_plain.py::test_forest", "cls_ml": "test_plain.py::test_forest",
     "cls_lof": "test_whole.py::test_lof_searches_all_rows", "jn_lof_knn": "test_whole.py::test_lof_searches_all_rows", "cls_packet_features": "test_plain.py::test_packet_features", "cls_pipeline": "test_plain.py::test_pipeline",
-    "cls_vector": "test_plain.py::test_vector", "fn_blake3": "test_parsers.py::test_blake3_known_answers", "fn_merkle": "test_parsers.py::test_merkle_proofs",
+    "cls_vector": "test_plain.py::test_vector", "fn_blake3": "test_plain.py::test_blake3", "fn_merkle": "test_plain.py::test_merkle",
     "fn_hkdf": "test_plain.py::test_quic_keys", "pii_redact_text": "test_plain.py::test_redaction", "snk_case": "test_plain.py::test_case", "tls_fingerprints": "test_plain.py::test_fingerprints",
     "win_ewma": "test_plain.py::test_moving_average", "win_hashchain": "test_plain.py::test_hash_chain",
 }
