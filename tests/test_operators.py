@@ -125,6 +125,10 @@ def test_http_request_over_three_segments(spark):
     frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, src_port int, dst_port int, ip_proto int, seq long, tcp_flags int, payload binary, ts_nano long")
     got = streams.reassembled(frame).first()
     assert bytes(got.client_data) == text and got.stream == "192.168.1.1:12345-192.168.1.2:80" and got.gaps == 0
+    assert (got.client_dropped, got.server_dropped) == (0, 0)
+    short = streams.reassembled(frame, most=12).first()
+    assert bytes(short.client_data) == text[:12] and (short.client_dropped, short.server_dropped) == (len(text) - 12, 0)
+    assert streams.stream_stats(streams.reassembled(frame, most=12)).first().client_bytes == len(text)
 
 
 def test_carving():

@@ -49,6 +49,8 @@ def test_captures_round_trip_with_filters(spark, tmp_path):
     spark.createDataFrame(frames, "ts_nano long, frame binary").repartition(3).write.format("pcap").mode("append").save(f"{tmp_path}/c")
     back = spark.read.format("pcap").load(f"{tmp_path}/c")
     assert back.count() == 50 and back.filter("dst_port = 53 and ts_nano >= 1000000000000000010").count() == sum(i % 2 for i in range(10, 50))
+    for test in ("length >= 60", "dst_port = 53", "ts_nano > 0 and src_port < 20000", "length > 10 and dst_port in (53, 80)", "length > 100000"):
+        assert back.filter(test).select("ts_nano").count() == sum(1 for _ in back.select("*", (F.expr(test) & (F.rand() >= 0)).alias("holds")).filter("holds").collect()), test
     reader = pcap.PcapReader(f"{tmp_path}/c", ["ts_nano"])
     assert len(reader.partitions()) == 3
     with pytest.raises(ValueError):

@@ -41,10 +41,11 @@ def reassembled(packets: DataFrame, most: int = 64 << 20) -> DataFrame:
     """Streams of TCP packets (src_ip, dst_ip, src_port, dst_port, seq, tcp_flags, payload, ts_nano): both sides' bytes in order.
 
     The client sends the first SYN; without one, the side with the higher port is the client. A connection is one group;
-    its bytes are bounded by `most` for each side, as a stream beyond that is not parsed.
+    its bytes are bounded by `most` for each side, as a stream beyond that is not parsed; client_dropped and server_dropped
+    count the bytes beyond.
     """
     tcp = packets.filter("ip_proto = 6").withColumn("connection", connection_key()).select("connection", "src_ip", "dst_ip", "src_port", "dst_port", "seq", "tcp_flags", "payload", "ts_nano")
-    schema = "client_ip string, client_port int, server_ip string, server_port int, stream string, client_data binary, server_data binary, packets long, gaps long, first_nano long, last_nano long, state string"
+    schema = "client_ip string, client_port int, server_ip string, server_port int, stream string, client_data binary, server_data binary, client_dropped long, server_dropped long, packets long, gaps long, first_nano long, last_nano long, state string"
 
     def run(key, pdf):
         pdf = pdf.sort_values("ts_nano", kind="stable")
@@ -52,26 +53,27 @@ def reassembled(packets: DataFrame, most: int = 64 << 20) -> DataFrame:
         first = opening.iloc[0] if len(opening) else pdf.iloc[0]
         client = (first.src_ip, int(first.src_port)) if len(opening) or first.src_port >= first.dst_port else (first.dst_ip, int(first.dst_port))
         server = (first.dst_ip, int(first.dst_port)) if client == (first.src_ip, int(first.src_port)) else (first.src_ip, int(first.src_port))
-        sides, gaps = [], 0
+        sides, dropped, gaps = [], [], 0
         for ip, port in (client, server):
             own = pdf[(pdf.src_ip == ip) & (pdf.src_port == port)]
             begin = [int(s) + 1 for s, f in zip(own.seq, own.tcp_flags) if f & SYN]
             data, n = ordered([(int(s) + (1 if f & SYN else 0), bytes(p)) for s, f, p in zip(own.seq, own.tcp_flags, own.payload) if p is not None and len(p)], begin[0] if begin else None)
             sides.append(data[:most])
+            dropped.append(max(0, len(data) - most))
             gaps += n
         flags = 0
         for f in pdf.tcp_flags:
             flags |= int(f)
         state = "reset" if flags & RST else "closed" if flags & FIN else "established" if len(opening) else "partial"
-        return pd.DataFrame([[*client, *server, f"{client[0]}:{client[1]}-{server[0]}:{server[1]}", *sides, len(pdf), gaps, int(pdf.ts_nano.min()), int(pdf.ts_nano.max()), state]], columns=[x.split()[0] for x in schema.split(", ")])
+        return pd.DataFrame([[*client, *server, f"{client[0]}:{client[1]}-{server[0]}:{server[1]}", *sides, *dropped, len(pdf), gaps, int(pdf.ts_nano.min()), int(pdf.ts_nano.max()), state]], columns=[x.split()[0] for x in schema.split(", ")])
 
     return tcp.groupBy("connection").applyInPandas(run, schema)
 
 
 def stream_stats(streams: DataFrame) -> DataFrame:
     return streams.agg(
-        F.count("*").alias("streams"), F.count_if(F.col("state").isin("closed", "reset")).alias("closed"), F.sum(F.octet_length("client_data")).alias("client_bytes"),
-        F.sum(F.octet_length("server_data")).alias("server_bytes"), F.sum("packets").alias("packets"), F.sum("gaps").alias("gaps"),
+        F.count("*").alias("streams"), F.count_if(F.col("state").isin("closed", "reset")).alias("closed"), F.sum(F.octet_length("client_data") + F.col("client_dropped")).alias("client_bytes"),
+        F.sum(F.octet_length("server_data") + F.col("server_dropped")).alias("server_bytes"), F.sum("packets").alias("packets"), F.sum("gaps").alias("gaps"),
     )
 
 

@@ -394,7 +394,7 @@ def _(spark, d):
 @query("agg_stream_bytes", "SELECT page_id, strlen(html) AS server_bytes FROM pages WHERE strlen(html) > 0")
 def _(spark, d):
     first = _segments(spark, d).withColumn("ts_nano", F.when((F.col("seq") == 4294967000), F.lit(-10000000)).otherwise(F.col("ts_nano")))
-    return streams.reassembled(first).select((F.col("client_port") - 10000).cast("long").alias("page_id"), F.octet_length("server_data").cast("long").alias("server_bytes"))
+    return streams.reassembled(first).select((F.col("client_port") - 10000).cast("long").alias("page_id"), (F.octet_length("server_data") + F.col("server_dropped")).alias("server_bytes"))
 
 
 @query("agg_reasm_stats")

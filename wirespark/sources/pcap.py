@@ -80,10 +80,18 @@ class PcapReader(DataSourceReader):
         kinds = dict(x.split() for x in SCHEMA.split(", "))
         schema = pa.schema([(c, wide[kinds[c]]) for c in self.columns])
         rows, size = [], 0
+        of_record = [t for t in self.tests if t[0] in ("ts_nano", "length")]  # answered by the record's header, before a frame is decoded
+        of_frame = [t for t in self.tests if t not in of_record]
+        decoded = bool(of_frame) or any(c not in ("file", "number", "ts_nano", "capture_length", "length", "frame") for c in self.columns)
+        holds = lambda row, tests: all(row.get(c) is not None and _TESTS[kind](row[c], v) for c, kind, v in tests)
         with fs.open_input_stream(name) as f:
             for number, (nano, length, link, frame) in enumerate(frames(f.read)):
-                row = {"file": partition.value, "number": number, "ts_nano": nano, "capture_length": len(frame), "length": length, "frame": frame} | (decode(frame, link) or {})
-                if all(row.get(c) is not None and _TESTS[kind](row[c], v) for c, kind, v in self.tests):
+                row = {"file": partition.value, "number": number, "ts_nano": nano, "capture_length": len(frame), "length": length, "frame": frame}
+                if not holds(row, of_record):
+                    continue
+                if decoded:
+                    row |= decode(frame, link) or {}
+                if holds(row, of_frame):
                     rows.append({c: row.get(c) for c in self.columns})
                     size += len(frame) + 200
                     if size > BATCH_BYTES:
