@@ -53,3 +53,35 @@ def test_lof_searches_all_rows(spark, embeddings, name, k):
 def test_forest_threshold_is_of_all_rows(spark):
     rows = spark.range(10_000).selectExpr("id * 1.0D / 10000 score")
     assert anomaly.contamination_limit(rows, "score") == 0.9
+
+
+@pytest.fixture
+def long_vectors(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(40, 600)).astype("float32").astype(float)
+    x[0], x[1] = 2.5, np.arange(600) == 7  # a constant; one component far from all others
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path), x
+
+
+def in_seconds(spark, most, run):
+    """run(), given up after so many seconds: work that grows with the cube of a vector's length takes many minutes."""
+    import threading
+
+    stop = threading.Timer(most, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        return run()
+    finally:
+        stop.cancel()
+
+
+def test_anomaly_of_long_vectors(spark, long_vectors):
+    import numpy as np
+
+    d, x = long_vectors
+    got = {r.vec_id: r.is_anomaly for r in in_seconds(spark, 60, lambda: plans.queries()["cls_anom_py"](spark, d).collect())}
+    spread = x.std(1, keepdims=True)
+    z = np.where(spread > 0, (x - x.mean(1, keepdims=True)) / np.where(spread > 0, spread, 1), 0)
+    assert got == {i: bool(np.abs(r).max() > 3) for i, r in enumerate(z)} and not got[0] and got[1]
