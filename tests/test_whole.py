@@ -85,3 +85,12 @@ def test_anomaly_of_long_vectors(spark, long_vectors):
     spread = x.std(1, keepdims=True)
     z = np.where(spread > 0, (x - x.mean(1, keepdims=True)) / np.where(spread > 0, spread, 1), 0)
     assert got == {i: bool(np.abs(r).max() > 3) for i, r in enumerate(z)} and not got[0] and got[1]
+
+
+def test_standardized_long_vectors(spark, long_vectors):
+    import numpy as np
+
+    d, x = long_vectors
+    got = {r.vec_id: r["first"] for r in in_seconds(spark, 60, lambda: plans.queries()["fn_standardize"](spark, d).collect())}
+    assert got.keys() == set(range(len(x))) and got[0] == 0
+    assert np.allclose([got[i] for i in range(1, len(x))], (x[1:, 0] - x[1:].mean(1)) / x[1:].std(1), atol=1e-6)
