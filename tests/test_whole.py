@@ -119,3 +119,13 @@ def as_sql(spark, d, name, table="events"):
 def test_decoding_with_many_users(spark, many_users):
     got, want = as_sql(spark, many_users, "prj_decode_xdp")
     assert got == want and len(got) == 61 and sum("129999" in x for x in got) == 10
+
+
+def test_packet_features_with_many_users(spark, many_users):
+    got = {r.packet_id: r for r in plans.queries()["cls_packet_features"](spark, many_users).collect()}
+    assert got.keys() == {*range(60), 97}
+    for i, r in got.items():
+        k = 3 if i == 97 else i % 7
+        head, payload = (20, k) if i % 97 and k % 5 != 2 else (8, k) if i % 97 else (0, 8 + k)
+        assert (r.length, r.payload_length, r.ttl, r.ack) == (34 + head + payload, payload, 64 / 255, 1 if head == 20 else None)
+        assert i % 97 == 0 or (r.entropy, r.mean) == (0, pytest.approx(120 / 255 if k else 0))
