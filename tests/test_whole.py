@@ -129,3 +129,8 @@ def test_packet_features_with_many_users(spark, many_users):
         head, payload = (20, k) if i % 97 and k % 5 != 2 else (8, k) if i % 97 else (0, 8 + k)
         assert (r.length, r.payload_length, r.ttl, r.ack) == (34 + head + payload, payload, 64 / 255, 1 if head == 20 else None)
         assert i % 97 == 0 or (r.entropy, r.mean) == (0, pytest.approx(120 / 255 if k else 0))
+
+
+def test_captures_with_many_users(spark, many_users):
+    got, want = as_sql(spark, many_users, "src_pcap")
+    assert got == want and 0 < len(got) < 61
