@@ -1,7 +1,7 @@
 import random
 import re
 
-from wirespark.llm.quality import bucket_weights, op6_quality_rules, scored
+from wirespark.llm.quality import bucket_weights, half, op6_quality_rules, scored
 
 
 def base(text):
@@ -63,3 +63,45 @@ def test_rows_without_an_id(spark, tables):
     tables.make("documents", [(None, "some words here"), (None, None), (1, "some words here")], "doc_id long, text string")
     tables.make("labels", [(1, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
     assert sorted(str(r.doc_id) for r in op6_quality_rules(spark, tables).collect()) == ["1", "None", "None"]
+
+
+def test_every_trusted_document_counts(spark, tables):
+    """Score and verdict against plain counts over more trusted documents than a bounded sample would hold."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from wirespark.llm.quality import BUCKETS, LOWEST, MARGIN, PRIOR, THRESHOLD
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(24)]
+    rows = [(i, rng.choices(words, weights=[1 + (j + i // 8000) % 6 for j in range(24)] if i % 9 else [1] * 23 + [9], k=rng.choice([22, 30]))) for i in range(23_000)]
+    good = {i for i, _ in rows if i % 10}  # 20,700
+    tables.make("documents", [(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    tables.make("labels", [(i, int(i in good), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in op6_quality_rules(spark, tables).collect()}
+
+    one = spark.createDataFrame([(w,) for w in words], "a string")
+    hashed = {(r.a,): r.h % BUCKETS for r in one.selectExpr("a", "xxhash64(a) h").collect()}
+    pairs = one.crossJoin(one.withColumnRenamed("a", "b"))
+    hashed |= {(r.a, r.b): r.h % BUCKETS for r in pairs.selectExpr("a", "b", "xxhash64(xxhash64(a), xxhash64(b)) h").collect()}
+    halves = {r.doc_id: r.h for r in spark.range(23_000).withColumnRenamed("id", "doc_id").select("doc_id", half().alias("h")).collect()}
+    grams = {i: [hashed[(x,)] for x in w] + [hashed[x] for x in zip(w, w[1:])] for i, w in rows}
+    corpus, target = Counter({b: 1 for b in range(BUCKETS)}), [Counter(), Counter()]
+    for i, g in grams.items():
+        corpus.update(g)
+        if i in good:
+            target[halves[i]].update(g)
+    total = sum(corpus.values())
+
+    def weights(wanted):
+        own = sum(wanted.values())
+        return np.array([math.log((wanted[b] + PRIOR * corpus[b] / total) / (own + PRIOR) / (corpus[b] / total)) for b in range(BUCKETS)])
+
+    by, crossed = weights(target[0] + target[1]), [weights(target[1]), weights(target[0])]
+    score = {i: by[g].mean() for i, g in grams.items()}
+    assert max(abs(got[i].score - x) for i, x in score.items()) < 1e-8
+    least = np.percentile([crossed[halves[i]][grams[i]].mean() for i in good if not got[i].base_failed], 100 * LOWEST)
+    limit = min(THRESHOLD, least - MARGIN)
+    assert all(got[i].kept == (not got[i].base_failed and x >= limit) for i, x in score.items() if abs(x - limit) > 2e-4)
