@@ -60,3 +60,17 @@ def test_empty(spark, tables):
     tables.make("documents", [], SCHEMA)
     tables.make("labels", [], "doc_id long, quality int, toxic int")
     assert corpus_pipeline.run(spark, tables).count() == 0
+
+
+def test_quality_stage_counts_every_trusted_document(spark, tables, monkeypatch):
+    import corpus_pipeline
+    from wirespark.llm import quality
+
+    n, seen, ratios = 20_500, [], quality.log_ratios
+    monkeypatch.setattr(quality, "log_ratios", lambda corpus, wanted: seen.append(sum(wanted)) or ratios(corpus, wanted))
+    words = " ".join(f"w{k}" for k in range(19))
+    docs = spark.range(n).selectExpr("id doc_id", f"concat('{words} n', id % 7) text", "id * 2 other")
+    spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic").write.parquet(f"{tables}/labels.parquet")
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tables))
+    assert kept.columns == docs.columns and kept.count() == kept.filter("other = 2 * doc_id").count() == n
+    assert seen[0] == 39 * n == seen[1] + seen[2]  # 20 words and 19 pairs of each: all the target, and its halves
