@@ -134,3 +134,11 @@ def test_packet_features_with_many_users(spark, many_users):
 def test_captures_with_many_users(spark, many_users):
     got, want = as_sql(spark, many_users, "src_pcap")
     assert got == want and 0 < len(got) < 61
+
+
+@pytest.mark.parametrize("name", ["fn_standardize", "cls_anom_py"])
+def test_vectors_without_components_or_with_nulls(spark, tmp_path, name):
+    rows = [[], None, [1.0, None, 3.0], [None, 1.0, 2.0], [None, None], [1.0, 2.0, 4.0], [None] + [0.0] * 30 + [9.0]]
+    spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = as_sql(spark, str(tmp_path), name, "embeddings")
+    assert got == want and len(got) == len(rows)

@@ -360,7 +360,7 @@ def _(spark, d):
 
 @query("fn_standardize", f"{V} SELECT vec_id, round((e[1] - m) / sqrt(list_sum(list_transform(e, lambda x: (x - m) * (x - m))) / len(e)), {R}) AS first FROM s")
 def _(spark, d):
-    return vectors(spark, d).withColumn("n", encoding.standardized(F.col("e"))).select("vec_id", r(F.element_at("n", 1), "first"))
+    return vectors(spark, d).withColumn("n", encoding.standardized(F.col("e"))).select("vec_id", r(F.get("n", F.lit(0)), "first"))
 
 
 @query("fn_euclid", f"{V} SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), {R}) AS distance FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
