@@ -19,7 +19,7 @@ from wirespark.llm.common import staged, table
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learned from all labelled documents among docs."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(False), None)
     score = "score" + "_" * max(map(len, docs.columns), default=0)  # longer than any column's name
     return toxicity.scored(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 

@@ -74,3 +74,20 @@ def test_quality_stage_counts_every_trusted_document(spark, tables, monkeypatch)
     kept = corpus_pipeline.quality_rules(spark, docs, str(tables))
     assert kept.columns == docs.columns and kept.count() == kept.filter("other = 2 * doc_id").count() == n
     assert seen[0] == 39 * n == seen[1] + seen[2]  # 20 words and 19 pairs of each: all the target, and its halves
+
+
+def test_toxicity_stage_learns_from_every_labelled_document(spark, tables):
+    """An expression that only documents beyond the first 4000 of their class show is learned."""
+    from pyspark.sql import functions as F
+
+    n = 4400
+    late = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()[4000:]]
+    words = [f"w{k}ab"[::-1] for k in range(200)]
+    rng = random.Random(4)
+    text = lambda *more: " ".join(rng.sample([*rng.choices(words, k=12), *more], 12 + len(more)))
+    rows = [(i, text("scumlike" if i in set(late) else "vilest")) for i in range(n)] + [(i, text()) for i in range(n, 2 * n)]
+    asked = [(2 * n + i, text("scumlike", "scumlike")) for i in range(40)] + [(3 * n + i, text()) for i in range(40)]
+    tables.make("documents", rows + asked, "doc_id long, text string")
+    tables.make("labels", [(i, 1, int(i < n)) for i in range(2 * n)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in corpus_pipeline.toxicity_filter(spark, spark.read.parquet(f"{tables}/documents.parquet"), str(tables)).collect()}
+    assert not kept & {i for i, _ in asked[:40]} and {i for i, _ in asked[40:]} <= kept

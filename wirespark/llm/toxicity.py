@@ -9,8 +9,8 @@ A document compares the length-normalised log-likelihoods of its whole text, and
 of its words from the toxic model, the log-likelihood ratio of the mixture. A logistic curve, fitted on the training
 documents, turns them into a score from 0 to 1.
 
-Fitted on a bounded sample of labelled documents of the training folds: at most MOST of each class, the first by hash of
-the id. Every document is scored over its whole text.
+Fitted on all labelled documents outside the held-out folds, or on at most so many of each class, the first by hash of
+the id: op4_toxicity asks for MOST, the pipeline for all. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no words and the score of no evidence; a word is a run of letters, marks and
 digits, lower-cased; repeated rows are scored alike (in training, a document's labels count once: toxic if any row says
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirespark.llm.common import doc_texts, fold, held, release, shared_path, slabs, staged, table, trim, without_gc
+from wirespark.llm.common import doc_texts, fold, held, release, shared_path, slabs, staged, table, trim, unstaged, without_gc
 from wirespark.llm.katz import pack, unpack
 from wirespark.llm.storage import open_file, write_file
 
@@ -49,7 +49,9 @@ class ToxicModel:
     def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER):
         """counts: for each word its occurrences in ordinary and in toxic documents."""
         self.order = order
-        grams, top = self._top(words, counts)
+        self._fit(*self.top(words, counts, order))
+
+    def _fit(self, grams: list[np.ndarray], top: list[np.ndarray]) -> None:
         below = shared_backoff(grams[1:])  # of what follows a gram's first letter
         context = _keys(grams[:-1])
         contexts, of_gram = np.unique(context, return_inverse=True)
@@ -65,30 +67,27 @@ class ToxicModel:
         self.grams = keys[by], np.log(p[1] / p[0])[by]
         self.contexts = contexts, np.log(rest[1] / rest[0])
 
-    def _top(self, words: list[str], counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    @staticmethod
+    def of_grams(columns: list[np.ndarray], counts: np.ndarray) -> ToxicModel:
+        """The model of grams of the highest order, as columns of letters, with their occurrences in either class."""
+        model = ToxicModel.__new__(ToxicModel)
+        model.order = len(columns)
+        model._fit(*_merged(columns, counts))
+        return model
+
+    @staticmethod
+    def top(words: list[str], counts: np.ndarray, order: int = ORDER) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The distinct grams of the highest order as columns of letters, and how often each class has them."""
         if not words:
-            return [np.zeros(0, np.uint32) for _ in range(self.order)], [np.zeros(0), np.zeros(0)]
-        columns, ends = self._letters(words)
-        keys, first, which = np.unique(_keys([x[ends] for x in columns]), return_index=True, return_inverse=True)
-        of_word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        return [x[ends[first]] for x in columns], [np.bincount(which, counts[of_word, c], len(keys)) for c in (0, 1)]
-
-    def _letters(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Letters at each place and the order - 1 places after it, and the places where a letter or the end of a word comes last."""
-        pad = EDGE * (self.order - 1)
-        codes = np.frombuffer((pad.join(["", *words]) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(codes) - self.order + 1
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes + self.order - 1) - sizes - self.order + 1
-        ends = np.repeat(starts - (np.cumsum(sizes + 1) - sizes - 1), sizes + 1) + np.arange(int((sizes + 1).sum()))
-        return [codes[k : n + k] for k in range(self.order)], ends
+            return [np.zeros(0, np.uint32) for _ in range(order)], [np.zeros(0), np.zeros(0)]
+        columns, ends = _letters(words, order)
+        return _merged([x[ends] for x in columns], np.repeat(counts, np.fromiter(map(len, words), np.int64, len(words)) + 1, 0))
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
         """log(toxic / ordinary) of each word, over its letters and its end."""
         if not words or not len(self.grams[0]):
             return np.zeros(len(words))
-        columns, ends = self._letters(words)
+        columns, ends = _letters(words, self.order)
         columns = [x[ends] for x in columns]
         value = _found(*self.grams, _keys(columns))
         unseen = np.flatnonzero(np.isnan(value))
@@ -124,6 +123,23 @@ def shared_backoff(grams: list[np.ndarray], discount: float = 0.75) -> np.ndarra
     return p[which]
 
 
+def _letters(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Letters at each place and the order - 1 places after it, and the places where a letter or the end of a word comes last."""
+    pad = EDGE * (order - 1)
+    codes = np.frombuffer((pad.join(["", *words]) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes) - order + 1
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + order - 1) - sizes - order + 1
+    ends = np.repeat(starts - (np.cumsum(sizes + 1) - sizes - 1), sizes + 1) + np.arange(int((sizes + 1).sum()))
+    return [codes[k : n + k] for k in range(order)], ends
+
+
+def _merged(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each gram once, in the order of the keys, and its occurrences in either class."""
+    keys, first, which = np.unique(_keys(columns), return_index=True, return_inverse=True)
+    return [x[first] for x in columns], [np.bincount(which, counts[:, c], len(keys)) for c in (0, 1)]
+
+
 def _keys(columns) -> np.ndarray:
     x = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
@@ -185,25 +201,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w / scale
 
 
-def sample_of(labels: DataFrame, held_out: Column, most: int = MOST) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, toxic of at most `most` labelled documents of each class outside held_out, and how many there are in all."""
+def sample_of(labels: DataFrame, held_out: Column, most: int | None = MOST) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, toxic of the labelled documents outside held_out, at most `most` of each class if given, and how many there are in all."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if most is None:
+        return known.hint("shuffle_hash"), sizes
     part = lambda c: known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return part(0).unionByName(part(1)), sizes
+    return F.broadcast(part(0).unionByName(part(1))), sizes  # at most 2 * most rows of two numbers
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST) -> tuple[str | None, np.ndarray]:
-    """Count the words of the sample by class, make the models of four fifths in one task, fit the curve on the rest.
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int | None = MOST) -> tuple[str | None, np.ndarray]:
+    """Count the words of the labelled documents by class, make the models of four fifths, fit the curve on the rest.
 
-    Gives the file of the model in the shared folder (None if there is nothing to learn from) and the weights of the curve;
-    the model doesn't pass the driver.
+    Words are counted, cut into grams and these counted by all executors; the distinct grams meet in one task. Gives the
+    file of the model in the shared folder (None if there is nothing to learn from) and the weights of the curve; the model
+    doesn't pass the driver, four numbers for each document of the last fifth do.
     """
     spark = docs.sparkSession
     sample, sizes = sample_of(labels, held_out, most)
-    # at most 2 * most rows of two numbers
-    chosen = staged(doc_texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]), "toxicity-sample").withColumn("fit", fold("doc_id", 5) != 0)
+    chosen = staged(doc_texts(docs).join(sample, "doc_id").dropDuplicates(["doc_id", "text"]), "toxicity-sample").withColumn("fit", fold("doc_id", 5) != 0)
     path = f"{shared_path(spark, 'toxicity')}/model"
 
     def count(batches):
@@ -216,22 +234,33 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST
             columns = list(zip(*rows)) or [()] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["word", "ordinary", "toxic"])
 
+    letters = [f"g{k}" for k in range(ORDER)]
+
+    def cut(batches):
+        release()
+        for batch in batches:
+            grams, top = ToxicModel.top(batch.column("word").to_pylist(), np.stack([np.array(batch.column(k), float) for k in ("ordinary", "toxic")], 1))
+            yield pa.record_batch([*(pa.array(x.astype(np.int32)) for x in grams), *(pa.array(x.astype(np.int64)) for x in top)], [*letters, "ordinary", "toxic"])
+
     def fit(batches):
         release()
-        words, counts = [], [np.zeros((0, 2))]
+        grams, counts = [np.zeros((0, ORDER), np.uint32)], [np.zeros((0, 2))]
         for batch in batches:
-            words += batch.column("word").to_pylist()
+            grams.append(np.stack([np.array(batch.column(k)).astype(np.uint32) for k in letters], 1))
             counts.append(np.stack([np.array(batch.column(k), float) for k in ("ordinary", "toxic")], 1))
-        write_file(path, [ToxicModel(words, np.concatenate(counts)).arrays()])
-        n = len(words)
-        words, counts = [], []
+        columns = list(np.ascontiguousarray(np.concatenate(grams).T))
+        n = len(columns[0])
+        grams.clear()
+        write_file(path, [ToxicModel.of_grams(columns, np.concatenate(counts)).arrays()])
+        columns, counts = [], []
         trim()
-        yield pa.record_batch([pa.array([n], pa.int64())], ["words"])
+        yield pa.record_batch([pa.array([n], pa.int64())], ["grams"])
 
-    words = chosen.filter("fit").select("text", "toxic").mapInArrow(count, "word string, ordinary long, toxic long")
-    counted = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    # the distinct words of at most 2 * most documents, in one task
-    fitted = staged(counted.repartition(1).sortWithinPartitions("word").mapInArrow(fit, "words long"), "toxicity-fitted")
+    summed = [F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")]
+    words = chosen.filter("fit").select("text", "toxic").mapInArrow(count, "word string, ordinary long, toxic long").groupBy("word").agg(*summed)
+    grams = words.mapInArrow(cut, f"{', '.join(f'{x} int' for x in letters)}, ordinary long, toxic long").groupBy(*letters).agg(*summed)
+    # the distinct grams, far fewer than the words' letters, in one task
+    fitted = staged(grams.repartition(1).mapInArrow(fit, "grams long"), "toxicity-fitted")
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     prior = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if not sizes.get(0) or not sizes.get(1) or fitted.isEmpty():
@@ -247,6 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST
     if rest.select("toxic").distinct().count() < 2:  # too few documents for that: the curve is fitted where the models are
         rest = chosen
     got = rest.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow().to_pydict()
+    unstaged(chosen)
     y = np.array(got["toxic"], float)
     if len(set(got["toxic"])) < 2:
         return None, np.array([prior, 0.0, 0.0, 0.0])
